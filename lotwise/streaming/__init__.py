@@ -1,0 +1 @@
+"""The market data are batch snapshots; there is no streaming operator to offer."""
