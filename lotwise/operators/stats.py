@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 
-from lotwise.operators.keys import hash_bucket, join_on, total_order
+from lotwise.operators.keys import join_on, total_order
 from lotwise.operators.quantiles import quantile_table
 
-ROWS = F.lit(1)
 
 
 def n_rows(name: str = "n") -> Column:
