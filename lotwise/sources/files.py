@@ -32,16 +32,18 @@ def read_listings(
 
 
 def read_with_rejects(
-    spark: SparkSession, path: str, columns: Sequence[str]
+    spark: SparkSession, path: str, columns: Sequence[str], header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(good rows, raw text of rows that do not fit the schema); unreadable files are skipped."""
+    """(good rows, rows that do not fit the schema with their text); unreadable files are skipped."""
     rows = (
         spark.read.schema(text_schema([*columns, "_bad"]))
-        .option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+        .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
         .option("ignoreCorruptFiles", True)
         .csv(path)
     )
-    return rows.where("_bad is null").drop("_bad"), rows.where("_bad is not null").select("_bad")
+    # Every column has to be parsed for a row to be judged, whatever is selected later.
+    judged = rows.where(F.length(F.concat_ws("", *columns)) >= 0)
+    return judged.where("_bad is null").drop("_bad"), judged.where("_bad is not null")
 
 
 def probe_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -99,10 +101,10 @@ def read_validated(
     return union_all(*parts), skipped
 
 
-def read_ragged(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_ragged(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
     """CSV whose surplus fields are cut and whose missing fields are null."""
     return (
-        spark.read.schema(text_schema(columns)).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        spark.read.schema(text_schema(columns)).option("header", header).option("mode", "PERMISSIVE").csv(path)
     )
 
 
