@@ -41,7 +41,8 @@ def coverage(df: DataFrame, ref: DataFrame, keys: Sequence[str]) -> tuple[DataFr
 
 def band_quantiles(
     targets: DataFrame, market: DataFrame, eq: Sequence[str], band: str, k: int,
-    spec: Mapping[str, tuple[str, float]], n: str = "n", *, strategy: str | None = None,
+    spec: Mapping[str, tuple[str, float]], n: str = "n", *, weight: str | None = None,
+    strategy: str | None = None,
 ) -> DataFrame:
     """Quantiles of the market rows within ±k of each distinct target key.
 
@@ -50,7 +51,8 @@ def band_quantiles(
     """
     by = [*eq, band]
     measures = list(dict.fromkeys(c for c, _ in spec.values()))
-    counted = market.groupBy(*by, *measures).agg(F.count(F.lit(1)).alias("_w"))
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = market.groupBy(*by, *measures).agg(size.alias("_w"))
     spread = spread_to_targets(counted, band, k)
     wanted = targets.select(*by).distinct()
     pool = spread.join(wanted, by, "left_semi")

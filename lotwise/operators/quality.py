@@ -54,9 +54,11 @@ def group_fences(
 
 def iqr_flag(
     df: DataFrame, keys: Sequence[str], measures: Measures, tier: Tier | None = None,
-    flag: str = "is_iqr_outlier", *, strategy: str | None = None,
+    flag: str = "is_iqr_outlier", *, strategy: str | None = None, fences: DataFrame | None = None,
 ) -> DataFrame:
-    fences = group_fences(df, keys, measures, tier, strategy=strategy)
+    """Flag rows outside their group's fences (computed from `df` unless given)."""
+    if fences is None:
+        fences = group_fences(df, keys, measures, tier, strategy=strategy)
     bounds = [f"{side}_{m}" for m in measures for side in ("lo", "hi")]
     return (
         join_on(df, fences.select(*keys, *bounds), list(keys), "left")
@@ -67,10 +69,11 @@ def iqr_flag(
 
 def iqr_filter(
     df: DataFrame, keys: Sequence[str], measures: Measures, tier: Tier | None = None,
-    *, strategy: str | None = None,
+    *, strategy: str | None = None, fences: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose measures all lie within their group's fences, bounds included."""
-    return iqr_flag(df, keys, measures, tier, "_out", strategy=strategy).where("not _out").drop("_out")
+    flagged = iqr_flag(df, keys, measures, tier, "_out", strategy=strategy, fences=fences)
+    return flagged.where("not _out").drop("_out")
 
 
 def iqr_outliers(df: DataFrame, col: str, mult: float = 1.5, *, strategy: str | None = None) -> DataFrame:
@@ -128,11 +131,13 @@ def prepare_fences(df: DataFrame, price: str = "price", km: str = "km", year: st
 def iqr_flag_pooled(
     df: DataFrame, brand: str, year: str, measures: Measures, large: int = 50, min_pool: int = 10,
     sparse: str = "drop", flag: str = "is_iqr_outlier", *, strategy: str | None = None,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Flag rows outside their (brand, year) fences; `sparse` says what happens without fences."""
     if sparse not in ("drop", "keep"):
         raise ValueError(f"unknown sparse rule {sparse!r}")
-    bounds = iqr_bounds(df, brand, year, measures, large, min_pool, strategy=strategy)
+    if bounds is None:
+        bounds = iqr_bounds(df, brand, year, measures, large, min_pool, strategy=strategy)
     cols = [f"{s}_{m}" for m in measures for s in ("lo", "hi")]
     joined = join_on(df, bounds.select(brand, year, *cols, "source"), [brand, year], "left")
     keep = _inside(list(measures))
@@ -143,9 +148,11 @@ def iqr_flag_pooled(
 
 def iqr_filter_pooled(
     df: DataFrame, brand: str, year: str, measures: Measures, large: int = 50, min_pool: int = 10,
-    sparse: str = "drop", *, strategy: str | None = None,
+    sparse: str = "drop", *, strategy: str | None = None, bounds: DataFrame | None = None,
 ) -> DataFrame:
-    flagged = iqr_flag_pooled(df, brand, year, measures, large, min_pool, sparse, "_out", strategy=strategy)
+    flagged = iqr_flag_pooled(
+        df, brand, year, measures, large, min_pool, sparse, "_out", strategy=strategy, bounds=bounds
+    )
     return flagged.where("not _out").drop("_out", "source")
 
 
@@ -201,10 +208,13 @@ def iqr_sweep(
     )
 
 
+def common_keys(df: DataFrame, key: str, min_count: int) -> DataFrame:
+    return df.groupBy(key).agg(n_rows("_n")).where(F.col("_n") >= min_count).select(key)
+
+
 def drop_rare(df: DataFrame, key: str, min_count: int) -> DataFrame:
     """Rows of keys that occur at least `min_count` times."""
-    common = df.groupBy(key).agg(n_rows("_n")).where(F.col("_n") >= min_count).select(key)
-    return df.join(common, key, "left_semi")
+    return df.join(common_keys(df, key, min_count), key, "left_semi")
 
 
 def rare_counts(df: DataFrame, key: str, min_count: int) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Observation, functions as F
 
 from lotwise.config import CleaningConfig
 from lotwise.functions.parse import normalize_text, parse_hp, parse_km, parse_money, try_num
-from lotwise.operators.quality import drop_rare, iqr_filter, iqr_filter_pooled, prepare_fences
+from lotwise.operators.quality import (
+    common_keys, group_fences, iqr_bounds, iqr_filter, iqr_filter_pooled, prepare_fences,
+)
 from lotwise.operators.rows import bound, drop_placeholder, min_year, require_target, to_canonical
 from lotwise.operators.stats import n_rows
+from lotwise.scale import cut_lineage
 
 CLEAN_COLUMNS = ("price", "year", "km", "brand", "model", "energie", "horsepower")
 
@@ -26,28 +29,44 @@ def typed_listings(raw: DataFrame) -> DataFrame:
     }))
 
 
-def cleaning_stages(raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None) -> dict[str, DataFrame]:
-    """The frame after each stage, in order. Later statistics see earlier filters."""
+def cleaning_stages(
+    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, settle: bool = True
+) -> dict[str, DataFrame]:
+    """The frame after each stage, in order. Later statistics see earlier filters.
+
+    A stage that depends on statistics of the rows before it would read those
+    rows again for every stage after it. So the small tables (fences per brand,
+    common brands, fences per brand and year) are settled by a checkpoint when
+    the plan is built; each then costs one pass, and the rows themselves stay
+    one lazy scan with joins to small tables. `settle=False` keeps all lazy.
+    """
+    fix = cut_lineage if settle else (lambda table: table)
+    hp = {"horsepower": config.hp_multiplier}
     stages = {"typed": typed_listings(raw)}
     stages["price_bounds"] = bound(stages["typed"], "price", config.price_floor, config.price_ceiling)
     stages["min_year"] = min_year(stages["price_bounds"], config.min_year)
     stages["placeholder"] = drop_placeholder(stages["min_year"], ["brand", "model"], config.placeholder)
+
     powered = bound(stages["placeholder"], "horsepower", *config.hp_bounds)
-    stages["horsepower"] = iqr_filter(
-        powered, ["brand"], {"horsepower": config.hp_multiplier}, strategy=strategy
-    )
-    stages["rare_brands"] = drop_rare(stages["horsepower"], "brand", config.min_brand_count)
-    fenced = iqr_filter_pooled(
-        prepare_fences(stages["rare_brands"]), "brand", "year",
-        {"log_price1p": config.price_multiplier, "km": config.km_multiplier},
-        config.large_group, config.min_pool, config.sparse, strategy=strategy,
-    )
+    fences = fix(group_fences(powered, ["brand"], hp, strategy=strategy))
+    stages["horsepower"] = iqr_filter(powered, ["brand"], hp, fences=fences)
+
+    common = fix(common_keys(stages["horsepower"], "brand", config.min_brand_count))
+    stages["rare_brands"] = stages["horsepower"].join(common, "brand", "left_semi")
+
+    rows = prepare_fences(stages["rare_brands"])
+    measures = {"log_price1p": config.price_multiplier, "km": config.km_multiplier}
+    limits = (config.large_group, config.min_pool)
+    bounds = fix(iqr_bounds(rows, "brand", "year", measures, *limits, strategy=strategy))
+    fenced = iqr_filter_pooled(rows, "brand", "year", measures, *limits, config.sparse, bounds=bounds)
     stages["clean"] = fenced.select(*CLEAN_COLUMNS)
     return stages
 
 
-def clean(raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None) -> DataFrame:
-    return cleaning_stages(raw, config, strategy=strategy)["clean"]
+def clean(
+    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, settle: bool = True
+) -> DataFrame:
+    return cleaning_stages(raw, config, strategy=strategy, settle=settle)["clean"]
 
 
 def with_stats(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
