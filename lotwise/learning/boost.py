@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lotwise.config import QUANTILES
 from lotwise.operators.metrics import pinball_of
 from lotwise.operators.quantiles import quantile_table
-from lotwise.scale import cut_lineage
+from lotwise.scale import settle
 
 
 def _leaf_value(leaf: Column, values: Mapping[float, float]) -> Column:
@@ -56,13 +56,13 @@ class QuantileBoost(Estimator):
     def __init__(
         self, alpha: float = 0.5, rounds: int = 20, step: float = 0.3, depth: int = 4, seed: int = 42,
         features: str = "features", label: str = "log_price", prediction: str = "prediction",
-        validation_col: str | None = None, patience: int = 50, checkpoint_every: int = 5,
+        validation_col: str | None = None, patience: int = 50, settle_every: int = 5,
         weight_col: str | None = None, min_rows: int = 20,
     ):
         super().__init__()
         self.alpha, self.rounds, self.step, self.depth, self.seed = alpha, rounds, step, depth, seed
         self.features, self.label, self.prediction = features, label, prediction
-        self.validation_col, self.patience, self.checkpoint_every = validation_col, patience, checkpoint_every
+        self.validation_col, self.patience, self.settle_every = validation_col, patience, settle_every
         self.weight_col, self.min_rows = weight_col, min_rows
 
     def _fit(self, dataset: DataFrame) -> "QuantileBoostModel":
@@ -72,7 +72,7 @@ class QuantileBoost(Estimator):
             F.col(self.features).alias("_x"), F.col(self.label).cast("double").alias("_y"),
             keep.cast("boolean").alias("_held"), weight.alias("_w"),
         )
-        rows = cut_lineage(rows)
+        rows = settle(rows)
         start = quantile_table(rows.where("not _held"), [], {"q": ("_y", self.alpha)}).first()["q"]
         current = rows.withColumn("_f", F.lit(float(start)))
         trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = []
@@ -96,8 +96,8 @@ class QuantileBoost(Estimator):
                 tree.transform(current)
                 .withColumn("_f", F.col("_f") + _leaf_value(F.col("_leaf"), values)).drop("_leaf")
             )
-            if r % self.checkpoint_every == 0 and r < self.rounds:
-                current = cut_lineage(current)
+            if r % self.settle_every == 0 and r < self.rounds:
+                current = settle(current)
             if best_loss is not None:
                 loss = self._loss(current)
                 if loss < best_loss:

@@ -1,7 +1,7 @@
 """Fitted feature engineering. State is learned from the frame given to `fit` alone.
 
-The state lives in small DataFrames (one row per brand or model), cut from
-their lineage when fitted, and is joined to the rows in `transform`.
+The state lives in small tables (one row per brand or model), settled when
+fitted, and is joined to the rows in `transform`.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from lotwise.operators.keys import join_on
 from lotwise.operators.quantiles import quantile_table
 from lotwise.operators.rows import align
 from lotwise.operators.stats import n_rows, price_cv
-from lotwise.scale import cut_lineage
+from lotwise.scale import settle
 from lotwise.sources.files import add_block
 
 KM_CUTS = {"km_p25": 0.25, "km_p50": 0.5, "km_p75": 0.75, "km_p90": 0.9}
@@ -193,7 +193,7 @@ class PriceEncoder(Estimator):
             ),
         }
         if self.eager:
-            state = {name: cut_lineage(df) for name, df in state.items()}
+            state = {name: settle(df) for name, df in state.items()}
         blocks = [
             OneHot(col, prefix).fit(dataset)
             for col, prefix, wanted in (
@@ -387,7 +387,7 @@ class CvEncoder(Estimator):
         tables = {}
         for k in self.keys:
             table = price_cv(dataset, [k], self.price).withColumnRenamed("cv", f"{k}_price_cv")
-            tables[k] = cut_lineage(table) if self.eager else table
+            tables[k] = settle(table) if self.eager else table
         return CvEncoderModel(tables)
 
 

@@ -17,7 +17,7 @@ from lotwise.operators.metrics import (
 )
 from lotwise.operators.quantiles import quantile_table
 from lotwise.operators.stats import best_row, n_rows
-from lotwise.scale import cut_lineage
+from lotwise.scale import settle
 from lotwise.sources.files import union_all
 
 # Rows a bucket should hold when features are shuffled.
@@ -87,11 +87,11 @@ def cross_validate(
     The driver loops over k folds; each is a set of Spark jobs, and only metric
     rows are kept.
     """
-    rows = cut_lineage(with_fold(df, key, k, seed))
+    rows = settle(with_fold(df, key, k, seed))
     results = []
     for fold in range(k):
         scored = fit_predict(rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold))
-        results.append(cut_lineage(metrics(scored).withColumn("fold", F.lit(fold))))
+        results.append(settle(metrics(scored).withColumn("fold", F.lit(fold))))
     return union_all(*results)
 
 
@@ -109,7 +109,7 @@ def grid_search(
         params = dict(zip(grid, values))
         folds = cross_validate(df, make(**params), k, key, seed)
         row = folds.agg(F.avg(metric).alias(f"mean_{metric}"), F.stddev_samp(metric).alias(f"std_{metric}"))
-        results.append(cut_lineage(row.select(
+        results.append(settle(row.select(
             *[F.lit(v).alias(name) for name, v in params.items()], f"mean_{metric}", f"std_{metric}"
         )))
     table = union_all(*results)
@@ -122,7 +122,7 @@ def compare_specs(
 ) -> DataFrame:
     """Metric row per named feature list, all scored on the same test rows."""
     return union_all(*[
-        cut_lineage(metrics(make(features)(train, test)).withColumn("spec", F.lit(name)))
+        settle(metrics(make(features)(train, test)).withColumn("spec", F.lit(name)))
         for name, features in specs.items()
     ])
 
@@ -133,16 +133,15 @@ def permutation_importance(
 ) -> DataFrame:
     """Rise of the loss when one feature's values are exchanged between rows.
 
-    Rows get a random place (kept by a checkpoint, so a lost task cannot change
-    it) and are dealt into buckets of bounded size. In a bucket every row takes
+    Rows get a random place (kept in a table, so a lost task cannot change it) and are dealt into buckets of bounded size. In a bucket every row takes
     the features of the row after it; one shuffle serves all features.
     """
-    placed = cut_lineage(df.withColumn("_u", F.rand(seed)))
+    placed = settle(df.withColumn("_u", F.rand(seed)))
     buckets = max(1, -(-placed.count() // SHUFFLE_ROWS))
     around = Window.partitionBy("_b").orderBy("_u")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     values = F.struct(*features)
-    swapped = cut_lineage(
+    swapped = settle(
         placed.withColumn("_b", F.floor(F.col("_u") * buckets))
         .withColumn("_other", F.coalesce(F.lead(values).over(around), F.first(values).over(whole)))
         .drop("_u", "_b")

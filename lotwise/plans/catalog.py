@@ -103,15 +103,15 @@ def on_grid(df: DataFrame) -> DataFrame:
     return df.select(*[grid(F.col(c)).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
-def sql(body: str, plain: str = "", doubles: str = "", *, listings: bool = True) -> str:
+def sql(body: str, plain: str | list[str] = "", doubles: str = "", *, listings: bool = True) -> str:
     """`body` (a SELECT, or further CTEs and a SELECT) with its double columns on the grid.
 
-    `plain` and `doubles` name the output columns.
+    `plain` and `doubles` name the output columns, separated by blanks (or as a list).
     """
     start = LISTINGS if listings else "WITH _none AS (SELECT 1)"
     text = body.strip()
     whole = f"{start}, {text[5:].strip()}" if text[:5].upper() == "WITH " else f"{start} {text}"
-    columns = plain.split() + [
+    columns = (plain.split() if isinstance(plain, str) else plain) + [
         f"floor(CAST({c} AS DOUBLE) * 10000.0::DOUBLE + 0.637::DOUBLE) / 10000.0::DOUBLE AS {c}" for c in doubles.split()
     ]
     return f"SELECT {', '.join(columns)} FROM ({whole}) AS result"

@@ -11,7 +11,7 @@ from lotwise.operators.quality import (
 )
 from lotwise.operators.rows import bound, drop_placeholder, min_year, require_target, to_canonical
 from lotwise.operators.stats import n_rows
-from lotwise.scale import cut_lineage
+from lotwise.scale import settle
 
 CLEAN_COLUMNS = ("price", "year", "km", "brand", "model", "energie", "horsepower")
 
@@ -30,17 +30,17 @@ def typed_listings(raw: DataFrame) -> DataFrame:
 
 
 def cleaning_stages(
-    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, settle: bool = True
+    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, lazy: bool = False
 ) -> dict[str, DataFrame]:
     """The frame after each stage, in order. Later statistics see earlier filters.
 
     A stage that depends on statistics of the rows before it would read those
     rows again for every stage after it. So the small tables (fences per brand,
-    common brands, fences per brand and year) are settled by a checkpoint when
+    common brands, fences per brand and year) are settled when
     the plan is built; each then costs one pass, and the rows themselves stay
-    one lazy scan with joins to small tables. `settle=False` keeps all lazy.
+    one lazy scan with joins to small tables. `lazy=True` leaves even these to the action.
     """
-    fix = cut_lineage if settle else (lambda table: table)
+    fix = (lambda table: table) if lazy else settle
     hp = {"horsepower": config.hp_multiplier}
     stages = {"typed": typed_listings(raw)}
     stages["price_bounds"] = bound(stages["typed"], "price", config.price_floor, config.price_ceiling)
@@ -64,9 +64,9 @@ def cleaning_stages(
 
 
 def clean(
-    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, settle: bool = True
+    raw: DataFrame, config: CleaningConfig = CleaningConfig(), *, strategy=None, lazy: bool = False
 ) -> DataFrame:
-    return cleaning_stages(raw, config, strategy=strategy, settle=settle)["clean"]
+    return cleaning_stages(raw, config, strategy=strategy, lazy=lazy)["clean"]
 
 
 def with_stats(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

@@ -43,9 +43,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame) -> DataFrame:
+    """Compute now, keep as a table in the shared folder, and read it from there.
+
+    Cuts the lineage like a checkpoint and survives the loss of executors. Being
+    files, the result has a known size: the planner can broadcast it when it is
+    small, and later readers can prune its columns.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
