@@ -16,13 +16,9 @@ def _c(c: Col) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def parse_money(c: Col) -> Column:
     """'25 000 €' -> 25000.0; anything without one clean number -> null."""
-    return _blank_to_null(F.regexp_replace(_c(c), "[^0-9.]", "")).try_cast("double")
+    return F.regexp_replace(_c(c), "[^0-9.]", "").try_cast("double")
 
 
 def currency(c: Col) -> Column:
@@ -37,7 +33,7 @@ def parse_km(c: Col) -> Column:
 
 def parse_digits(c: Col, as_type: str = "double") -> Column:
     """Every digit of the text, joined and cast."""
-    return _blank_to_null(F.regexp_replace(_c(c), "[^0-9]", "")).try_cast(as_type)
+    return F.regexp_replace(_c(c), "[^0-9]", "").try_cast(as_type)
 
 
 def parse_hp(c: Col) -> Column:
@@ -47,7 +43,7 @@ def parse_hp(c: Col) -> Column:
 
 def first_int(c: Col) -> Column:
     """First integer found in the text."""
-    return _blank_to_null(F.regexp_extract(_c(c), "([0-9]+)", 1)).try_cast("bigint")
+    return F.regexp_extract(_c(c), "([0-9]+)", 1).try_cast("bigint")
 
 
 def unit_suffixes(df: DataFrame, c: str, out: str = "unit") -> DataFrame:

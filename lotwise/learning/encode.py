@@ -179,6 +179,8 @@ class PriceEncoder(Estimator):
             dataset.withColumn("car_age", fx.car_age("year", c.current_year))
             .withColumn("_lp", F.when(F.col(self.price) > 0, F.ln(self.price)))
         )
+        if self.eager:
+            rows = settle(rows.select(*dict.fromkeys(["brand", "model", *c.model_key, "km", "car_age", "_lp", self.price])))
         state = {
             "brands": _entity_state(rows, ["brand"], "brand", c.min_samples, self.strategy),
             "models": _entity_state(rows, list(c.model_key), "model", c.min_samples, self.strategy),

@@ -7,7 +7,9 @@ Three ways to the same table, picked by `strategy`:
 ``ranked``  For any size and any skew. Values are counted per (group, value)
             first, cut into ranges of roughly equal size, and only the ranges
             that contain a wanted rank are sorted. A group that owns a third of
-            all rows is spread over the ranges like any other data.
+            all rows is spread over the ranges like any other data. The result,
+            one row per group, is settled as a table: whoever joins it back to
+            the rows does not run the search again, and knows how small it is.
 ``approx``  ``percentile_approx`` for callers who accept an error bound.
 
 ``None`` reads ``lotwise.quantiles`` from the session, else picks plain or
@@ -21,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.operators.keys import join_on
-from lotwise.scale import fits_one_task
+from lotwise.scale import fits_one_task, settle
 
 Spec = Mapping[str, tuple[str, float]]
 
@@ -55,7 +57,7 @@ def quantile_table(
     keys = list(keys)
     strategy = choose_strategy(df, strategy)
     if strategy == "ranked":
-        return _ranked(df, keys, spec, list(aggs), weight)
+        return settle(_ranked(df, keys, spec, list(aggs), weight))
     return _by_aggregate(df, keys, spec, list(aggs), weight, strategy, accuracy)
 
 
@@ -103,10 +105,11 @@ def _range_edges(counts: DataFrame, keys, n_measures: int) -> Column:
     """Per measure, sorted cut points that split its values into similar ranges.
 
     The sample is the values with the smallest hashes, so it is the same however
-    often a lost task is run again, and never larger than SAMPLE_VALUES rows.
+    often a lost task is run again, and never larger than SAMPLE_VALUES rows. It
+    reads the same shuffled counts as the search itself.
     """
     sample = (
-        counts.where("__v is not null")
+        counts.where("__c > 0")
         .select("__m", "__v", F.xxhash64(*keys, "__m", "__v").alias("__h"))
         .orderBy("__h", "__m", "__v")
         .limit(SAMPLE_VALUES)

@@ -1,4 +1,4 @@
-"""Raw text listings to clean rows: one lazy plan."""
+"""Raw text listings to clean rows."""
 
 from __future__ import annotations
 
@@ -34,15 +34,16 @@ def cleaning_stages(
 ) -> dict[str, DataFrame]:
     """The frame after each stage, in order. Later statistics see earlier filters.
 
-    A stage that depends on statistics of the rows before it would read those
-    rows again for every stage after it. So the small tables (fences per brand,
-    common brands, fences per brand and year) are settled when
-    the plan is built; each then costs one pass, and the rows themselves stay
-    one lazy scan with joins to small tables. `lazy=True` leaves even these to the action.
+    Each stage that depends on statistics reads the rows before it once more.
+    So the text is parsed once and the typed rows are settled: later passes read
+    only the columns they need, and bounds reach the files as pushed filters.
+    The small tables (fences per brand, common brands, fences per brand and
+    year) are settled too, one pass each; the rest is one lazy scan with joins
+    to them. `lazy=True` leaves everything to the action.
     """
     fix = (lambda table: table) if lazy else settle
     hp = {"horsepower": config.hp_multiplier}
-    stages = {"typed": typed_listings(raw)}
+    stages = {"typed": fix(typed_listings(raw))}
     stages["price_bounds"] = bound(stages["typed"], "price", config.price_floor, config.price_ceiling)
     stages["min_year"] = min_year(stages["price_bounds"], config.min_year)
     stages["placeholder"] = drop_placeholder(stages["min_year"], ["brand", "model"], config.placeholder)

@@ -157,7 +157,7 @@ SWEEP = (0.1, 0.3, 0.5, 0.9, 1.5)
   g AS (SELECT multiplier, count(*) AS n, count(*) FILTER (big) AS n_big, count(*) FILTER (out_price OR out_km) AS total_outliers,
     count(*) FILTER (out_price) AS price_outliers, count(*) FILTER (big AND (out_price OR out_km)) AS high_volume_outliers FROM r GROUP BY 1)
   SELECT multiplier, total_outliers, price_outliers, high_volume_outliers, n - total_outliers AS data_retained,
-    (n - total_outliers) * 100.0 / n AS retention_rate, (n_big - high_volume_outliers) * 100.0 / n_big AS high_volume_retention,
+    (n - total_outliers) * 100.0 / n AS retention_rate, CASE WHEN n_big > 0 THEN (n_big - high_volume_outliers) * 100.0 / n_big ELSE 100 END AS high_volume_retention,
     CASE WHEN total_outliers * 100.0 / n > 0.5 THEN (n - total_outliers) * 1.0 / n * (total_outliers * 100.0 / n / 5.0) END AS balance_score
   FROM g""", "total_outliers price_outliers high_volume_outliers data_retained",
     "multiplier retention_rate high_volume_retention balance_score"))
