@@ -18,7 +18,7 @@ from lotwise.config import (
 )
 from lotwise.functions import features as fx
 from lotwise.functions.parse import keyword_flags
-from lotwise.operators.keys import join_on
+from lotwise.operators.keys import join_on, with_one_row
 from lotwise.operators.quantiles import quantile_table
 from lotwise.operators.rows import align
 from lotwise.operators.stats import n_rows, price_cv
@@ -96,7 +96,7 @@ def flag_entities(medians: DataFrame, median: str, prefix: str) -> DataFrame:
     cuts = quantile_table(medians, [], {"_q25": (median, 0.25), "_q75": (median, 0.75), "_q95": (median, 0.95)})
     names = {"q25": "_q25", "q75": "_q75", "q95": "_q95"}
     return (
-        medians.crossJoin(F.broadcast(cuts))
+        with_one_row(medians, cuts)
         .withColumns(_flag_columns(median, names, prefix)).drop(*names.values())
     )
 
@@ -158,7 +158,7 @@ def _entity_state(rows: DataFrame, keys: Sequence[str], prefix: str, min_samples
         {"_q25": (median, 0.25), "_q75": (median, 0.75), "_q95": (median, 0.95)},
     )
     return (
-        state.crossJoin(F.broadcast(cuts))
+        with_one_row(state, cuts)
         .withColumns(_flag_columns(median, {"q25": "_q25", "q75": "_q75", "q95": "_q95"}, prefix))
         .drop("_q25", "_q75", "_q95", "_np")
     )
@@ -221,7 +221,7 @@ class PriceEncoderModel(Model):
             "decade": fx.decade("year"), "is_almost_new": F.col("year") >= year - 1,
             "km_per_year": fx.km_per_year("km", age),
         })
-        out = out.crossJoin(F.broadcast(self.state["globals"]))
+        out = with_one_row(out, self.state["globals"])
         out = add_block(out, fx.mileage_flags("km", "km_p75"))
         if c.categories:
             out = out.withColumns({
@@ -307,16 +307,22 @@ class PriceEncoderModel(Model):
 class OneHot(Estimator):
     """0/1 columns per level in alphabetical order; the first level is left out."""
 
-    def __init__(self, col: str, prefix: str | None = None, drop_first: bool = True, drop_input: bool = False):
+    def __init__(
+        self, col: str, prefix: str | None = None, drop_first: bool = True, drop_input: bool = False,
+        max_levels: int = 5000,
+    ):
         super().__init__()
         self.col, self.prefix, self.drop_first, self.drop_input = col, prefix or col, drop_first, drop_input
+        self.max_levels = max_levels
 
     def _fit(self, dataset: DataFrame) -> "OneHotModel":
         levels = [
             r[0] for r in
             dataset.select(F.col(self.col).cast("string")).where(F.col(self.col).isNotNull())
-            .distinct().orderBy(self.col).collect()
+            .distinct().orderBy(self.col).take(self.max_levels + 1)
         ]
+        if len(levels) > self.max_levels:
+            raise ValueError(f"{self.col} has more than {self.max_levels} levels: use sparse_onehot")
         return OneHotModel(self.col, self.prefix, levels[1:] if self.drop_first else levels, self.drop_input)
 
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.config import AGE_BUCKETS, QUANTILES
 from lotwise.functions.features import age_bucket
-from lotwise.operators.keys import hash_bucket, join_on
+from lotwise.operators.keys import hash_bucket, join_on, with_one_row
 from lotwise.operators.match import band_quantiles
 from lotwise.operators.quantiles import quantile_table
 from lotwise.operators.stats import n_rows
+from lotwise.scale import lookup
 
 
 def corridor(
@@ -49,7 +50,7 @@ def corridor(
     for i, (table, keys) in enumerate(levels):
         out = out.join(level(i, table, keys), keys, "left")
     whole = level(len(levels), grouped([]), [])
-    out = out.crossJoin(F.broadcast(whole))
+    out = with_one_row(out, whole)
 
     used = range(len(levels) + 1)
     chosen = F.lit(None).cast("int")
@@ -85,7 +86,7 @@ def residual_interval(
     residuals = scored.dropna(subset=[y, pred]).withColumn("_res", F.col(y) - F.col(pred))
     spec = {"_lo": ("_res", tail), "_hi": ("_res", 1 - tail)}
     whole = quantile_table(residuals, [], spec, strategy=strategy)
-    out = df.crossJoin(F.broadcast(whole.withColumnsRenamed({"_lo": "_glo", "_hi": "_ghi"})))
+    out = with_one_row(df, whole.withColumnsRenamed({"_lo": "_glo", "_hi": "_ghi"}))
     kind = F.lit("global")
     lo, hi = F.col("_glo"), F.col("_ghi")
     if by:
@@ -160,9 +161,9 @@ def conformal_correct(
     """Split-conformal correction of each quantile column per group; unseen groups keep theirs."""
     out = df
     for q, alpha in targets.items():
-        table = conformal_offsets(calibration, group, y, q, alpha, min_n).select(
+        table = lookup(conformal_offsets(calibration, group, y, q, alpha, min_n).select(
             group, F.col("offset").alias(f"_off_{q}")
-        )
+        ))
         out = join_on(out, table, [group], "left").withColumn(
             f"{q}_conformal", F.col(q) + F.coalesce(F.col(f"_off_{q}"), F.lit(0.0))
         ).drop(f"_off_{q}")
@@ -183,7 +184,7 @@ def confidence_tier(
     df: DataFrame, train: DataFrame, keys: Sequence[str], low: int = 10, high: int = 50
 ) -> DataFrame:
     """Trust in a prediction by the number of training rows with the same key."""
-    support = train.groupBy(*keys).agg(n_rows("n_support"))
+    support = lookup(train.groupBy(*keys).agg(n_rows("n_support")))
     n = F.coalesce(F.col("n_support"), F.lit(0))
     return df.join(support, list(keys), "left").withColumn("n_support", n).withColumn(
         "confidence", F.when(F.col("n_support") >= high, "high").when(F.col("n_support") >= low, "medium").otherwise("low")
@@ -194,7 +195,7 @@ def inverse_frequency_weights(df: DataFrame, key: str, cap: float = 5.0) -> Data
     """Weight of a row: mean group size over its group's size, at most `cap`."""
     counts = df.groupBy(key).agg(n_rows("_n"))
     mean = counts.agg(F.avg("_n").alias("_mean"))
-    weights = counts.crossJoin(F.broadcast(mean)).select(
+    weights = with_one_row(counts, mean).select(
         key, F.least(F.lit(cap), F.col("_mean") / F.col("_n")).alias("weight")
     )
-    return join_on(df, weights, [key], "left")
+    return join_on(df, lookup(weights), [key], "left")

@@ -12,10 +12,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """Equi join in which null keys meet null keys, as they do in a grouping.
 
     Keeps the left key columns. No side is broadcast by hint: the planner does
-    so by size and AQE splits a hot key of the larger side.
+    so by size and AQE splits a hot key of the larger side. Without keys, the
+    right side is one row.
     """
     if not keys:
-        return left.crossJoin(right)
+        return with_one_row(left, right)
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
@@ -23,6 +24,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """The columns of a one-row frame beside every row, by a scalar subquery."""
+    packed = one.select(F.struct(*[F.col(c) for c in one.columns])).scalar()
+    return df.withColumn("__one", packed).select(
+        *df.columns, *[F.col("__one").getField(c).alias(c) for c in one.columns]
+    )
+
+
 def hash_bucket(keys: Sequence[str], n: int, seed: int = 0) -> Column:
     """Seeded bucket 0..n-1 of a row's key; the same on every run and engine."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])

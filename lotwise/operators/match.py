@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lotwise.operators.keys import join_on
 from lotwise.operators.quantiles import quantile_table, spread_to_targets
 from lotwise.operators.windows import arg_row, dedup_subset
+from lotwise.scale import lookup
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -34,7 +35,7 @@ def join_counts(df: DataFrame, counts: DataFrame, key: str, col: str = "n") -> D
 
 def coverage(df: DataFrame, ref: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with `has_match`, distinct key combinations without a match)."""
-    seen = ref.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    seen = lookup(ref.select(*keys).distinct().withColumn("_hit", F.lit(True)))
     flagged = join_on(df, seen, keys, "left").withColumn("has_match", F.col("_hit").isNotNull()).drop("_hit")
     return flagged, flagged.where("not has_match").select(*keys).distinct()
 
@@ -54,7 +55,7 @@ def band_quantiles(
     size = F.sum(weight) if weight else F.count(F.lit(1))
     counted = market.groupBy(*by, *measures).agg(size.alias("_w"))
     spread = spread_to_targets(counted, band, k)
-    wanted = targets.select(*by).distinct()
+    wanted = lookup(targets.select(*by).distinct())
     pool = spread.join(wanted, by, "left_semi")
     return quantile_table(pool, by, spec, aggs=[F.sum("_w").alias(n)], weight="_w", strategy=strategy)
 
@@ -75,7 +76,7 @@ def match_counts(left: DataFrame, right: DataFrame, eq: Sequence[str], band: str
     near = (
         spread_to_targets(exact, band, k).groupBy(*by).agg(F.sum("n_exact").alias("n_band"))
     )
-    both = near.join(exact, by, "left")
+    both = lookup(near.join(exact, by, "left"))
     return left.join(both, by, "left").withColumns({
         c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_exact", "n_band")
     })

@@ -6,11 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lotwise.operators.keys import join_on
+from lotwise.operators.keys import join_on, with_one_row
 from lotwise.operators.quantiles import choose_strategy, quantile_table, spread_to_targets
 from lotwise.operators.rows import valid_rows
 from lotwise.operators.stats import n_rows, pivot, rate_by
 from lotwise.operators.match import lookalikes
+from lotwise.scale import lookup
 
 Measures = Mapping[str, float]
 Tier = tuple[int, Mapping[str, float]]
@@ -95,7 +96,7 @@ def iqr_bounds(
     next to it.
     """
     by = [brand, year]
-    sizes = df.groupBy(*by).agg(n_rows("n_group"))
+    sizes = lookup(df.groupBy(*by).agg(n_rows("n_group")))
     spread = df.select(*by, *measures).withColumn("_own", F.col(year))
     pool = (
         join_on(spread_to_targets(spread, year, 1), sizes, by)
@@ -214,7 +215,7 @@ def common_keys(df: DataFrame, key: str, min_count: int) -> DataFrame:
 
 def drop_rare(df: DataFrame, key: str, min_count: int) -> DataFrame:
     """Rows of keys that occur at least `min_count` times."""
-    return df.join(common_keys(df, key, min_count), key, "left_semi")
+    return df.join(lookup(common_keys(df, key, min_count)), key, "left_semi")
 
 
 def rare_counts(df: DataFrame, key: str, min_count: int) -> DataFrame:
@@ -234,7 +235,7 @@ def group_mid_frequency(
     The tier compares the key's mean price with the 33rd and 67th percentile
     of all remaining prices.
     """
-    counts = df.groupBy(key).agg(n_rows("_n"), F.avg(price).alias("_mean")).where(F.col("_n") >= lo)
+    counts = lookup(df.groupBy(key).agg(n_rows("_n"), F.avg(price).alias("_mean")).where(F.col("_n") >= lo))
     kept = df.join(counts.select(key), key, "left_semi")
     cuts = quantile_table(kept, [], {"_p33": (price, 0.33), "_p67": (price, 0.67)}, strategy=strategy)
     tier = (
@@ -243,7 +244,7 @@ def group_mid_frequency(
         .otherwise("other_standard")
     )
     tiers = (
-        counts.where(F.col("_n") < hi).crossJoin(F.broadcast(cuts))
+        with_one_row(counts.where(F.col("_n") < hi), cuts)
         .select(key, tier.alias("_tier"))
     )
     return (
@@ -330,7 +331,7 @@ def share_drift(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     def shares(df: DataFrame, tag: str) -> DataFrame:
         counts = df.groupBy(col).agg(n_rows("_n"))
         total = counts.agg(F.sum("_n").alias("_t"))
-        return counts.crossJoin(F.broadcast(total)).select(
+        return with_one_row(counts, total).select(
             col, (F.col("_n") * 100.0 / F.col("_t")).alias(f"share_{tag}")
         )
 

@@ -23,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.operators.keys import join_on
-from lotwise.scale import fits_one_task, settle
+from lotwise.scale import fits_one_task, lookup, settle
 
 Spec = Mapping[str, tuple[str, float]]
 
@@ -231,6 +231,6 @@ def pooled_quantiles(
 ) -> DataFrame:
     """Quantiles of all rows within ±k of each existing (keys, band) group."""
     by = [*keys, band]
-    targets = df.select(*by).distinct()
+    targets = lookup(df.select(*by).distinct())
     pool = join_on(spread_to_targets(df, band, k), targets, by, "left_semi")
     return quantile_table(pool, by, spec, aggs=[F.count(F.lit(1)).alias(n)], strategy=strategy)

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 
-from lotwise.operators.keys import join_on, total_order
+from lotwise.operators.keys import join_on, total_order, with_one_row
 from lotwise.operators.quantiles import quantile_table
+from lotwise.scale import lookup
 
 
 
@@ -83,7 +84,7 @@ def value_counts(df: DataFrame, col: str, k: int | None = None, share: bool = Tr
     counts = df.groupBy(col).agg(n_rows())
     if share:
         total = counts.agg(F.sum("n").alias("total"))
-        counts = counts.crossJoin(F.broadcast(total)).select(
+        counts = with_one_row(counts, total).select(
             col, "n", F.try_divide("n", "total").alias("share")
         )
     ranked = counts.orderBy(F.desc("n"), F.asc(col))
@@ -330,7 +331,7 @@ def five_number(
 def keep_top_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the n most frequent groups; ties go to the smaller key."""
     top = df.groupBy(key).agg(n_rows()).orderBy(F.desc("n"), F.asc(key)).limit(n)
-    return df.join(top.select(key), key, "left_semi")
+    return df.join(lookup(top.select(key)), key, "left_semi")
 
 
 def extremes(df: DataFrame, col: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
@@ -370,13 +371,13 @@ def market_share(
     """Each row with the count and share of its group, and rare / common flags."""
     counts = df.groupBy(key).agg(n_rows(f"{key}_count"))
     total = counts.agg(F.sum(f"{key}_count").alias("_total"))
-    shares = counts.crossJoin(F.broadcast(total)).select(
+    shares = with_one_row(counts, total).select(
         key, f"{key}_count",
         F.try_divide(f"{key}_count", "_total").alias(f"{key}_market_share"),
         (F.col(f"{key}_count") < rare).cast("int").alias(f"is_rare_{key}"),
         (F.col(f"{key}_count") > common).cast("int").alias(f"is_common_{key}"),
     )
-    return join_on(df, shares, [key], "left")
+    return join_on(df, lookup(shares), [key], "left")
 
 
 def with_group_stat(
@@ -390,7 +391,7 @@ def with_group_stat(
     if stat == "median":
         table = quantile_table(df, keys, {out: (col, 0.5)})
     else:
-        table = df.groupBy(*keys).agg(getattr(F, stat)(F.col(col)).alias(out))
+        table = lookup(df.groupBy(*keys).agg(getattr(F, stat)(F.col(col)).alias(out)))
     return join_on(df, table, list(keys), "left")
 
 
@@ -398,8 +399,8 @@ def with_share(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of all rows held by the row's group."""
     counts = df.groupBy(*keys).agg(n_rows("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    shares = counts.crossJoin(F.broadcast(total)).select(*keys, F.try_divide("_n", "_total").alias("share"))
-    return join_on(df, shares, list(keys), "left")
+    shares = with_one_row(counts, total).select(*keys, F.try_divide("_n", "_total").alias("share"))
+    return join_on(df, lookup(shares), list(keys), "left")
 
 
 def relative_flags(
@@ -417,7 +418,7 @@ def relative_flags(
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Columns of a one-row aggregate beside every row."""
-    return df.crossJoin(F.broadcast(scalars.limit(1)))
+    return with_one_row(df, scalars)
 
 
 def combinations(df: DataFrame, keys: Sequence[str]) -> DataFrame:

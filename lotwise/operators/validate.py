@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lotwise.config import SUPPORT_EDGES, SUPPORT_LABELS, XAF_TO_EUR
 from lotwise.functions.features import gap_pct
 from lotwise.functions.parse import convert, crosswalk, std_key, year_of_text
+from lotwise.operators.keys import with_one_row
 from lotwise.operators.match import band_join, coverage, exact_reference, match_counts
 from lotwise.operators.metrics import _core
 from lotwise.operators.quantiles import quantile_table
@@ -106,7 +107,7 @@ def match_support(
     counted = match_counts(decl, market, eq, year, k)
     per_range = counted.groupBy(bin_label(F.col(which), edges, labels).alias("support")).agg(n_rows())
     total = per_range.agg(F.sum("n").alias("_t"))
-    return per_range.crossJoin(F.broadcast(total)).select(
+    return with_one_row(per_range, total).select(
         "support", label_order("support", labels).alias("support_order"), "n",
         (F.col("n") * 100.0 / F.col("_t")).alias("pct"),
     )

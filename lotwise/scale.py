@@ -43,6 +43,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """A table that will be joined to many rows, usually far smaller than what it is computed from.
+
+    Over a large input it is settled first: its size is then known when the join
+    is planned, so a small one is broadcast and the rows are not shuffled at
+    all, while a large one still joins by shuffle.
+    """
+    return df if fits_one_task(df) else settle(df)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute now, keep as a table in the shared folder, and read it from there.
 
