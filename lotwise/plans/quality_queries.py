@@ -80,8 +80,14 @@ J3_SQL = sql(f"""
     "url brand year", "price km")
 
 
-def pooled_filter(t: Tables, **options):
-    return q.iqr_filter_pooled(q.prepare_fences(t.listings), "brand", "year", FENCES, DIRECT, POOL, **options)
+def pooled_filter(t: Tables, direct: int = DIRECT, pool: int = POOL, **options):
+    return q.iqr_filter_pooled(q.prepare_fences(t.listings), "brand", "year", FENCES, direct, pool, **options)
+
+
+def segment_corridor(t: Tables, direct: int = DIRECT, pool: int = POOL):
+    """Lower, median and upper price per brand and year, after robust cleaning."""
+    spec = {"q15": ("price", 0.15), "q50": ("price", 0.5), "q85": ("price", 0.85)}
+    return quantile_table(pooled_filter(t, direct, pool), ["brand", "year"], spec, aggs=[n_rows()])
 
 
 @query("j3_iqr_filter_pooled", J3_SQL)
@@ -108,8 +114,7 @@ def _(t: Tables):
   SELECT brand, year, count(*) AS n, quantile_cont(price, 0.15) AS q15, median(price) AS q50, quantile_cont(price, 0.85) AS q85
   FROM k GROUP BY 1, 2""", "brand year n", "q15 q50 q85"))
 def _(t: Tables):
-    spec = {"q15": ("price", 0.15), "q50": ("price", 0.5), "q85": ("price", 0.85)}
-    return quantile_table(pooled_filter(t), ["brand", "year"], spec, aggs=[n_rows()])
+    return segment_corridor(t)
 
 
 @query("j4_iqr_bounds", sql(f"""
