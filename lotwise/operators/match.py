@@ -120,13 +120,13 @@ def lookalikes(
     key = F.lower(F.trim(F.col(name)))
     names = (
         df.where(F.length(key) > 0)
-        .groupBy(group, name).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(group, name).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_p", F.substring(key, 1, prefix))
         .withColumn("_l", F.length(key))
     )
-    a = names.select(group, F.col(name).alias("name_a"), F.col("n").alias("n_a"), "_p",
+    a = names.select(group, F.col(name).alias("name_a"), F.col("_n").alias("n_a"), "_p",
                      F.explode(F.sequence(F.col("_l") - max_len_diff, F.col("_l") + max_len_diff)).alias("_l"))
-    b = names.select(group, F.col(name).alias("name_b"), F.col("n").alias("n_b"), "_p", "_l")
+    b = names.select(group, F.col(name).alias("name_b"), F.col("_n").alias("n_b"), "_p", "_l")
     return a.join(b, [group, "_p", "_l"]).where("name_a < name_b").drop("_p", "_l")
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lotwise.config import RAW_LISTING_COLUMNS
@@ -46,12 +44,21 @@ def read_with_rejects(
     return judged.where("_bad is null").drop("_bad"), judged.where("_bad is not null")
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes) of the plain files in a folder; the sources themselves pass over empty ones."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [
+        (status.getPath().toString(), status.getLen())
+        for status in system.listStatus(folder)
+        if status.isFile() and not status.getPath().getName().startswith(("_", "."))
+    ]
+    return spark.createDataFrame(found, "path string, bytes bigint")
+
+
 def probe_headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, header): first line of every file, null for an empty one."""
-    files = (
-        spark.read.format("binaryFile").load(path)
-        .select("path", F.col("length").alias("bytes"))
-    )
+    files = list_files(spark, path)
     first = (
         spark.read.text(path)
         .select(
@@ -93,7 +100,7 @@ def read_validated(
     )
     parts = [
         spark.read.schema(text_schema(row["columns"])).option("header", True)
-        .csv([unquote(p) for p in row["paths"]]).select(*required)
+        .csv(row["paths"]).select(*required)
         for row in sorted(layouts, key=lambda r: r["paths"][0])
     ]
     if not parts:
