@@ -4,12 +4,14 @@ Three ways to the same table, picked by `strategy`:
 
 ``plain``   Spark's ``percentile``: one shuffle, but it holds the distinct values
             of a group in one task. Right where the whole input fits in one task.
-``ranked``  For any size and any skew. Values are counted per (group, value)
-            first, cut into ranges of roughly equal size, and only the ranges
-            that contain a wanted rank are sorted. A group that owns a third of
-            all rows is spread over the ranges like any other data. The result,
-            one row per group, is settled as a table: whoever joins it back to
-            the rows does not run the search again, and knows how small it is.
+``ranked``  For any size and any skew, and without shuffling the rows: they
+            are counted per (group, value range) with a partial count in each
+            task, and only the few ranges that hold a wanted rank are shuffled
+            and sorted. A group that owns a third of all rows is spread over
+            the ranges like any other data, and copies of a value collapse
+            before the shuffle. It reads the input three times and runs when
+            called; the result, one row per group, is settled as a table, so
+            whoever joins it to the rows knows how small it is.
 ``approx``  ``percentile_approx`` for callers who accept an error bound.
 
 ``None`` reads ``lotwise.quantiles`` from the session, else picks plain or
@@ -27,8 +29,8 @@ from lotwise.scale import fits_one_task, lookup, settle
 
 Spec = Mapping[str, tuple[str, float]]
 
-SAMPLE_VALUES = 8192
 VALUE_RANGES = 256
+SKETCH_ACCURACY = 2000
 
 
 def choose_strategy(df: DataFrame, strategy: str | None = None) -> str:
@@ -87,45 +89,26 @@ def _by_aggregate(df, keys, spec, aggs, weight, strategy, accuracy) -> DataFrame
     return grouped.select(*own, *picks)
 
 
-def _value_counts(df, keys, columns, weight) -> DataFrame:
-    """(keys, __m, __v, __c): how often each value of each measure occurs."""
-    count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
-    measures = F.array(*[
-        F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v"))
-        for i, c in enumerate(columns)
-    ])
-    return (
-        df.select(*keys, count.alias("__w"), F.inline(measures))
-        .groupBy(*keys, "__m", "__v")
-        .agg(F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0)).alias("__c"))
-    )
+def _range_edges(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
+    """Per measure, at most VALUE_RANGES - 1 values that cut its rows into similar shares.
 
-
-def _range_edges(counts: DataFrame, keys, n_measures: int) -> Column:
-    """Per measure, sorted cut points that split its values into similar ranges.
-
-    The sample is the values with the smallest hashes, so it is the same however
-    often a lost task is run again, and never larger than SAMPLE_VALUES rows. It
-    reads the same shuffled counts as the search itself.
+    They come from one sketch over all rows and are constants from here on, so
+    every task, and every repetition of a lost task, cuts alike. They only
+    balance the work: any edges give the same quantiles.
     """
-    sample = (
-        counts.where("__c > 0")
-        .select("__m", "__v", F.xxhash64(*keys, "__m", "__v").alias("__h"))
-        .orderBy("__h", "__m", "__v")
-        .limit(SAMPLE_VALUES)
-    )
-
-    step = SAMPLE_VALUES // VALUE_RANGES
-
-    def cuts(i: int) -> Column:
-        values = F.sort_array(F.collect_set(F.when(F.col("__m") == i, F.col("__v"))))
-        return F.filter(values, lambda _, at: at % step == 0)
-
-    return sample.agg(F.array(*[cuts(i) for i in range(n_measures)]).alias("edges")).scalar()
+    shares = F.array(*[F.lit(i / VALUE_RANGES) for i in range(1, VALUE_RANGES)])
+    row = df.agg(*[
+        F.percentile_approx(F.col(c).cast("double"), shares, SKETCH_ACCURACY).alias(f"__e{i}")
+        for i, c in enumerate(columns)
+    ]).first()
+    return [sorted(set(values or [])) for values in row]
 
 
-def _range_of(value: Column, edges: Column) -> Column:
+def _range_of(value: Column, edges: list[float]) -> Column:
     """How many sorted edges are not above the value: a binary search in log2 steps."""
+    if not edges:
+        return F.lit(0)
+    cuts = F.array(*[F.lit(e) for e in edges])
     steps, step = [], VALUE_RANGES // 2
     while step:
         steps.append(step)
@@ -133,25 +116,30 @@ def _range_of(value: Column, edges: Column) -> Column:
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda seen, s: seen + F.when(F.get(edges, seen + s - 1) <= value, s).otherwise(0),
+        lambda seen, s: seen + F.when(F.get(cuts, seen + s - 1) <= value, s).otherwise(0),
     )
 
 
 def _ranked(df, keys, spec, aggs, weight) -> DataFrame:
+    """Count per value range, find the ranges that hold a wanted rank, and sort only these."""
     columns = _columns_of(spec)
-    counts = _value_counts(df, keys, columns, weight)
-    ranged = (
-        counts.withColumn("__edges", _range_edges(counts, keys, len(columns)))
-        .withColumn("__edges", F.get("__edges", "__m"))
-        .withColumn("__r", _range_of(F.col("__v"), F.col("__edges")))
-        .drop("__edges")
-    )
+    edges = _range_edges(df, columns)
+    weighted = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    measures = F.array(*[
+        F.struct(
+            F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v"),
+            _range_of(F.col(c).cast("double"), edges[i]).alias("__r"),
+        )
+        for i, c in enumerate(columns)
+    ])
+    long = df.select(*keys, weighted.alias("__w"), F.inline(measures))
+    count = F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0))
 
     series = [*keys, "__m"]
     before = Window.partitionBy(*series).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*series)
     ranges = (
-        ranged.groupBy(*series, "__r").agg(F.sum("__c").alias("__rc"))
+        long.groupBy(*series, "__r").agg(count.alias("__rc"))
         .withColumn("__base", F.coalesce(F.sum("__rc").over(before), F.lit(0)))
         .withColumn("__n", F.sum("__rc").over(whole))
     )
@@ -165,22 +153,24 @@ def _ranked(df, keys, spec, aggs, weight) -> DataFrame:
         return (rank >= start) & (rank < start + size)
 
     hit = F.col("__n") == 0
-    for name, (c, q) in spec.items():
+    for c, q in spec.values():
         low, high, _ = ranks(q)
         mine = F.col("__m") == columns.index(c)
         start, size = F.col("__base"), F.col("__rc")
         hit = hit | (mine & (covers(low, start, size) | covers(high, start, size)))
-    needed = ranges.where(hit).select(*series, "__r", "__base", "__n")
+    needed = settle(ranges.where(hit).select(*series, "__r", "__base", "__n"))
 
     in_range = (
         Window.partitionBy(*series, "__r").orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = join_on(ranged, needed, [*series, "__r"]).withColumn(
-        "__start", F.col("__base") + F.coalesce(F.sum("__c").over(in_range), F.lit(0))
+    placed = (
+        join_on(long, needed, [*series, "__r"])
+        .groupBy(*series, "__r", "__base", "__n", "__v").agg(count.alias("__c"))
+        .withColumn("__start", F.col("__base") + F.coalesce(F.sum("__c").over(in_range), F.lit(0)))
     )
     found = []
-    for i, (name, (c, q)) in enumerate(spec.items()):
+    for i, (c, q) in enumerate(spec.values()):
         low, high, part = ranks(q)
         mine = F.col("__m") == columns.index(c)
         for tag, rank in (("l", low), ("h", high)):
