@@ -23,13 +23,10 @@ def corridor(
 
     Levels: (brand, model, year), the same within ±1 year, (brand, model),
     brand, all rows. `level` tells which one a row got, `support` its size.
-    Training rows are shuffled once, as counts per (brand, model, year, price),
-    and every level is a regrouping of these counts.
+    Every level reads the training rows again: settle them first if they come
+    from a costly plan.
     """
-    counted = (
-        train.where(F.col(price).isNotNull())
-        .groupBy(brand, model, year, price).agg(n_rows("_w"))
-    )
+    known = train.where(F.col(price).isNotNull()).select(brand, model, year, price)
     spec = {name: (price, q) for name, q in qs.items()}
     exact_keys, pair = [brand, model, year], [brand, model]
 
@@ -38,11 +35,11 @@ def corridor(
         return named if i == len(levels) else named.where(F.col(f"_n_{i}") >= min_n)
 
     def grouped(keys: Sequence[str]) -> DataFrame:
-        return quantile_table(counted, keys, spec, aggs=[F.sum("_w").alias("_n")], weight="_w", strategy=strategy)
+        return quantile_table(known, keys, spec, aggs=[n_rows("_n")], strategy=strategy)
 
     levels: list[tuple[DataFrame, list[str]]] = [
         (grouped(exact_keys), exact_keys),
-        (band_quantiles(df, counted, pair, year, 1, spec, "_n", weight="_w", strategy=strategy), exact_keys),
+        (band_quantiles(df, known, pair, year, 1, spec, "_n", strategy=strategy), exact_keys),
         (grouped(pair), pair),
         (grouped([brand]), [brand]),
     ]

@@ -42,22 +42,18 @@ def coverage(df: DataFrame, ref: DataFrame, keys: Sequence[str]) -> tuple[DataFr
 
 def band_quantiles(
     targets: DataFrame, market: DataFrame, eq: Sequence[str], band: str, k: int,
-    spec: Mapping[str, tuple[str, float]], n: str = "n", *, weight: str | None = None,
-    strategy: str | None = None,
+    spec: Mapping[str, tuple[str, float]], n: str = "n", *, strategy: str | None = None,
 ) -> DataFrame:
     """Quantiles of the market rows within ±k of each distinct target key.
 
-    Market rows are counted per (key, value) before they are spread over the
-    2k+1 bands they serve, and the join is an equality: no pair of rows is made.
+    Market rows are spread over the 2k+1 bands they serve and kept where someone
+    asks for them, by an equality join: no pair of rows is made.
     """
     by = [*eq, band]
     measures = list(dict.fromkeys(c for c, _ in spec.values()))
-    size = F.sum(weight) if weight else F.count(F.lit(1))
-    counted = market.groupBy(*by, *measures).agg(size.alias("_w"))
-    spread = spread_to_targets(counted, band, k)
     wanted = lookup(targets.select(*by).distinct())
-    pool = spread.join(wanted, by, "left_semi")
-    return quantile_table(pool, by, spec, aggs=[F.sum("_w").alias(n)], weight="_w", strategy=strategy)
+    pool = spread_to_targets(market.select(*by, *measures), band, k).join(wanted, by, "left_semi")
+    return quantile_table(pool, by, spec, aggs=[F.count(F.lit(1)).alias(n)], strategy=strategy)
 
 
 def band_join(
