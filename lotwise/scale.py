@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,14 +28,18 @@ def fits_one_task(df: DataFrame) -> bool:
     return size is not None and size <= ONE_TASK_BYTES
 
 
+@cache
+def _private_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="lotwise-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="lotwise-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        shared = _private_dir(spark.sparkContext.applicationId)
     return shared.rstrip("/")
 
 
