@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotwise.llm import mixing, packing, secret_scan
+from lotwise.llm import mixing, near_vectors, packing, secret_scan, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,45 @@ def source_mix(docs: DataFrame) -> DataFrame:
 @query("op10_best_fit_packing", "documents")
 def best_fit_packing(docs: DataFrame) -> DataFrame:
     return packing.pack(docs)
+
+
+@query("op5_warc_round_trip", "pages")
+def warc_round_trip(pages: DataFrame) -> DataFrame:
+    return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op5_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+ g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR first = page_id THEN NULL ELSE first END AS refers_to
+FROM g"""
+
+
+@query("op3_near_vectors", "embeddings")
+def near_duplicate_vectors(vectors: DataFrame) -> DataFrame:
+    return near_vectors.near_vectors(vectors)
+
+
+@query("op6_top_k_search", "embeddings")
+def top_k_search(vectors: DataFrame) -> DataFrame:
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+# The inner products of all pairs are too many for a query over whole tables beyond the small scales.
+ORACLES["op6_top_k_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+  WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
