@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotwise.llm import mixing, near_vectors, packing, secret_scan, topk, warc
+from lotwise.llm import jaccard, mixing, near_vectors, packing, secret_scan, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ WITH v AS (
   WHERE q.vec_id % 20 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query("op8_jaccard_join", "documents")
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    return jaccard.similar_texts(docs)
