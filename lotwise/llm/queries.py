@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lotwise.llm import jaccard, mixing, near_vectors, packing, secret_scan, topk, warc
+import lotwise
+from lotwise.llm import jaccard, mixing, near_vectors, packing, secret_scan, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str):
-    """Register a function of one table."""
-    def register(build: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+def find_package(spark: SparkSession) -> None:
+    """Python workers on this machine look for the library where the driver found it, whatever folder they start in. On
+    a cluster the library is installed or sent with --py-files."""
+    folder, environment = str(Path(lotwise.__file__).parents[1]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if spark.sparkContext.master.startswith("local") and folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])
+
+
+def query(name: str, *tables: str):
+    """Register a function of some tables."""
+    def register(build: Callable[..., DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            find_package(spark)
+            return build(*(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables))
+
+        QUERIES[name] = run
         return build
 
     return register
@@ -92,3 +108,11 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 2
 @query("op8_jaccard_join", "documents")
 def jaccard_join(docs: DataFrame) -> DataFrame:
     return jaccard.similar_texts(docs)
+
+
+@query("op1_toxicity", "documents", "labels")
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    scored = toxicity.fit(docs, labels).score(docs.select("doc_id", "text"), "score")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
