@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import lotwise
-from lotwise.llm import jaccard, mixing, near_vectors, packing, secret_scan, topk, toxicity, warc
+from lotwise.llm import html_text, jaccard, mixing, near_vectors, packing, secret_scan, token_count, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op2_token_counts", "documents")
+def token_counts(docs: DataFrame) -> DataFrame:
+    return token_count.count_tokens(docs.select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+@query("op7_html_text", "pages")
+def page_texts(pages: DataFrame) -> DataFrame:
+    return html_text.extract(pages)
