@@ -184,9 +184,9 @@ def _tree(size: np.ndarray, pair: np.ndarray, least: float = 1e-5) -> tuple[np.n
         for seen, free in cells:
             seen = np.clip(seen, 0, None)
             with np.errstate(divide="ignore", invalid="ignore"):
-                information += size[y] / size.sum() * np.where((seen > 0) & (free > 0), seen * np.log(seen / free), 0)
+                information += size[y] / max(size.sum(), 1e-9) * np.where((seen > 0) & (free > 0), seen * np.log(seen / free), 0)
         spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-        correlation += size[y] / size.sum() * np.where(spread > 0, (q - np.outer(p, p)) / np.where(spread > 0, spread, 1), 0)
+        correlation += size[y] / max(size.sum(), 1e-9) * np.where(spread > 0, (q - np.outer(p, p)) / np.where(spread > 0, spread, 1), 0)
     np.fill_diagonal(information, 0)
     parent, joined = np.full(n, -1), np.zeros(n, bool)
     best, via = np.zeros(n), np.full(n, -1)
