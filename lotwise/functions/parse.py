@@ -78,11 +78,12 @@ def _literal_map(mapping: Mapping) -> Column:
 def crosswalk(df: DataFrame, c: str, mapping: Mapping[str, str] | DataFrame) -> DataFrame:
     """Replace mapped values of `c`, keep the others.
 
-    A small mapping is a literal; a frame with columns (old, new) is joined.
+    A small mapping is a literal; a frame with columns (old, new) is joined. Of several
+    new values for one old value the smallest counts.
     """
     if not isinstance(mapping, DataFrame):
         return df.withColumn(c, F.coalesce(F.try_element_at(_literal_map(mapping), F.col(c)), F.col(c)))
-    names = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    names = mapping.groupBy(F.col("old").alias("_old")).agg(F.min("new").alias("_new"))
     return (
         df.join(names, F.col(c) == F.col("_old"), "left")
         .withColumn(c, F.coalesce("_new", c))

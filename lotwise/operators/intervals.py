@@ -12,7 +12,7 @@ from lotwise.operators.keys import hash_bucket, join_on, with_one_row
 from lotwise.operators.match import band_quantiles
 from lotwise.operators.quantiles import quantile_table
 from lotwise.operators.stats import n_rows
-from lotwise.scale import lookup
+from lotwise.scale import settle
 
 
 def corridor(
@@ -158,7 +158,7 @@ def conformal_correct(
     """Split-conformal correction of each quantile column per group; unseen groups keep theirs."""
     out = df
     for q, alpha in targets.items():
-        table = lookup(conformal_offsets(calibration, group, y, q, alpha, min_n).select(
+        table = settle(conformal_offsets(calibration, group, y, q, alpha, min_n).select(
             group, F.col("offset").alias(f"_off_{q}")
         ))
         out = join_on(out, table, [group], "left").withColumn(
@@ -181,7 +181,7 @@ def confidence_tier(
     df: DataFrame, train: DataFrame, keys: Sequence[str], low: int = 10, high: int = 50
 ) -> DataFrame:
     """Trust in a prediction by the number of training rows with the same key."""
-    support = lookup(train.groupBy(*keys).agg(n_rows("n_support")))
+    support = settle(train.groupBy(*keys).agg(n_rows("n_support")))
     n = F.coalesce(F.col("n_support"), F.lit(0))
     return df.join(support, list(keys), "left").withColumn("n_support", n).withColumn(
         "confidence", F.when(F.col("n_support") >= high, "high").when(F.col("n_support") >= low, "medium").otherwise("low")
@@ -195,4 +195,4 @@ def inverse_frequency_weights(df: DataFrame, key: str, cap: float = 5.0) -> Data
     weights = with_one_row(counts, mean).select(
         key, F.least(F.lit(cap), F.col("_mean") / F.col("_n")).alias("weight")
     )
-    return join_on(df, lookup(weights), [key], "left")
+    return join_on(df, settle(weights), [key], "left")

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from lotwise.operators.keys import join_on
-from lotwise.operators.quantiles import quantile_table, spread_to_targets
+from lotwise.operators.quantiles import for_targets, quantile_table
 from lotwise.operators.windows import arg_row, dedup_subset
-from lotwise.scale import lookup
+from lotwise.scale import settle
 
 
 def join_stats(df: DataFrame, stats: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def join_counts(df: DataFrame, counts: DataFrame, key: str, col: str = "n") -> D
 
 def coverage(df: DataFrame, ref: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with `has_match`, distinct key combinations without a match)."""
-    seen = lookup(ref.select(*keys).distinct().withColumn("_hit", F.lit(True)))
+    seen = settle(ref.select(*keys).distinct().withColumn("_hit", F.lit(True)))
     flagged = join_on(df, seen, keys, "left").withColumn("has_match", F.col("_hit").isNotNull()).drop("_hit")
     return flagged, flagged.where("not has_match").select(*keys).distinct()
 
@@ -46,13 +46,13 @@ def band_quantiles(
 ) -> DataFrame:
     """Quantiles of the market rows within ±k of each distinct target key.
 
-    Market rows are spread over the 2k+1 bands they serve and kept where someone
-    asks for them, by an equality join: no pair of rows is made.
+    The targets are spread over the 2k+1 bands they ask for and meet the market by
+    an equality join: market rows that no one asks for are never copied.
     """
     by = [*eq, band]
     measures = list(dict.fromkeys(c for c, _ in spec.values()))
-    wanted = lookup(targets.select(*by).distinct())
-    pool = spread_to_targets(market.select(*by, *measures), band, k).join(wanted, by, "left_semi")
+    wanted = settle(targets.select(*by).distinct())
+    pool = for_targets(market.select(*by, *measures), wanted, eq, band, k)
     return quantile_table(pool, by, spec, aggs=[F.count(F.lit(1)).alias(n)], strategy=strategy)
 
 
@@ -69,10 +69,9 @@ def match_counts(left: DataFrame, right: DataFrame, eq: Sequence[str], band: str
     """Per left row, matches at the same band value and within ±k."""
     by = [*eq, band]
     exact = right.groupBy(*by).agg(F.count(F.lit(1)).alias("n_exact"))
-    near = (
-        spread_to_targets(exact, band, k).groupBy(*by).agg(F.sum("n_exact").alias("n_band"))
-    )
-    both = lookup(near.join(exact, by, "left"))
+    wanted = settle(left.select(*by).distinct())
+    near = for_targets(exact, wanted, eq, band, k).groupBy(*by).agg(F.sum("n_exact").alias("n_band"))
+    both = settle(join_on(near, exact, by, "left"))
     return left.join(both, by, "left").withColumns({
         c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_exact", "n_band")
     })

@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.operators.keys import join_on, with_one_row
-from lotwise.operators.quantiles import choose_strategy, quantile_table, spread_to_targets
+from lotwise.operators.quantiles import for_targets, quantile_table
 from lotwise.operators.rows import valid_rows
 from lotwise.operators.stats import n_rows, pivot, rate_by
 from lotwise.operators.match import lookalikes
-from lotwise.scale import lookup
+from lotwise.scale import settle
 
 Measures = Mapping[str, float]
 Tier = tuple[int, Mapping[str, float]]
@@ -96,17 +96,15 @@ def iqr_bounds(
     next to it.
     """
     by = [brand, year]
-    sizes = lookup(df.groupBy(*by).agg(n_rows("n_group")))
-    spread = df.select(*by, *measures).withColumn("_own", F.col(year))
-    pool = (
-        join_on(spread_to_targets(spread, year, 1), sizes, by)
-        .where((F.col("_own") == F.col(year)) | (F.col("n_group") < large))
-    )
-    table = quantile_table(
-        pool, by, _quartile_spec(list(measures)),
-        aggs=[n_rows("n_pool"), F.max("n_group").alias("n_group")],
-        strategy=choose_strategy(df, strategy),
-    )
+    sizes = settle(df.groupBy(*by).agg(n_rows("n_group")))
+    rows = df.select(*by, *measures)
+    # own rows of every group, and those next to the small groups
+    small = sizes.where(F.col("n_group") < large)
+    asked = for_targets(rows, small, [brand], year, 1)
+    direct = join_on(rows, sizes.where(F.col("n_group") >= large).select(*by), by)
+    pool = direct.select(*by, *measures).unionByName(asked)
+    table = quantile_table(pool, by, _quartile_spec(list(measures)), aggs=[n_rows("n_pool")], strategy=strategy)
+    table = join_on(table, sizes, by)
     own = F.col("n_group") >= large
     usable = own | (F.col("n_pool") >= min_pool)
     fenced = _with_fences(table, measures)
@@ -215,7 +213,7 @@ def common_keys(df: DataFrame, key: str, min_count: int) -> DataFrame:
 
 def drop_rare(df: DataFrame, key: str, min_count: int) -> DataFrame:
     """Rows of keys that occur at least `min_count` times."""
-    return df.join(lookup(common_keys(df, key, min_count)), key, "left_semi")
+    return df.join(settle(common_keys(df, key, min_count)), key, "left_semi")
 
 
 def rare_counts(df: DataFrame, key: str, min_count: int) -> DataFrame:
@@ -235,7 +233,7 @@ def group_mid_frequency(
     The tier compares the key's mean price with the 33rd and 67th percentile
     of all remaining prices.
     """
-    counts = lookup(df.groupBy(key).agg(n_rows("_n"), F.avg(price).alias("_mean")).where(F.col("_n") >= lo))
+    counts = settle(df.groupBy(key).agg(n_rows("_n"), F.avg(price).alias("_mean")).where(F.col("_n") >= lo))
     kept = df.join(counts.select(key), key, "left_semi")
     cuts = quantile_table(kept, [], {"_p33": (price, 0.33), "_p67": (price, 0.67)}, strategy=strategy)
     tier = (

@@ -1,21 +1,18 @@
 """Exact quantiles per group, with linear interpolation.
 
-Three ways to the same table, picked by `strategy`:
-
-``plain``   Spark's ``percentile``: one shuffle, but it holds the distinct values
-            of a group in one task. Right where the whole input fits in one task.
-``ranked``  For any size and any skew, and without shuffling the rows: they
-            are counted per (group, value range) with a partial count in each
-            task, and only the few ranges that hold a wanted rank are shuffled
-            and sorted. A group that owns a third of all rows is spread over
-            the ranges like any other data, and copies of a value collapse
-            before the shuffle. It reads the input three times and runs when
-            called; the result, one row per group, is settled as a table, so
-            whoever joins it to the rows knows how small it is.
-``approx``  ``percentile_approx`` for callers who accept an error bound.
-
-``None`` reads ``lotwise.quantiles`` from the session, else picks plain or
-ranked from the size of the files the plan reads.
+One algorithm at every size. Rows are counted per (group, value cell), with a
+partial count in each task; cells follow the logarithm of the value. The counts
+say which cells hold a wanted rank, and only the rows of these are shuffled,
+collapsed by value and sorted. Cells with more than ROWS_IN_CELL rows are cut
+again, by their own range of values, until none that is sorted holds more, so
+neither a group that owns a third of all rows nor values close together gather
+in one task. The input is read twice (once more by `aggs`) and has to give the
+same rows each time: settle samples and other random frames first. The counts
+are settled when the table is asked for; the rest runs with whatever uses it.
+
+Two other strategies can be asked for by name: ``plain``, Spark's
+``percentile``, which holds the distinct values of a group in one task, and
+``approx``, ``percentile_approx``, for callers who accept an error bound.
 """
 
 from __future__ import annotations
@@ -25,21 +22,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lotwise.operators.keys import join_on
-from lotwise.scale import fits_one_task, lookup, settle
+from lotwise.scale import settle
 
 Spec = Mapping[str, tuple[str, float]]
 
-VALUE_RANGES = 256
-SKETCH_ACCURACY = 2000
-
-
-def choose_strategy(df: DataFrame, strategy: str | None = None) -> str:
-    strategy = strategy or df.sparkSession.conf.get("lotwise.quantiles", "auto")
-    if strategy == "auto":
-        strategy = "plain" if fits_one_task(df) else "ranked"
-    if strategy not in ("plain", "ranked", "approx"):
-        raise ValueError(f"unknown quantile strategy {strategy!r}")
-    return strategy
+# Cells per factor e of a value, and the size below which values share one cell.
+CELLS_PER_E, SMALLEST = 64, 1e-6
+# A cell with more distinct values is cut into so many parts of its range, again and again.
+ROWS_IN_CELL, PARTS = 200_000, 1024
 
 
 def quantile_table(
@@ -57,9 +47,10 @@ def quantile_table(
     `spec` maps an output name to (column, q). `weight` is a row multiplicity.
     """
     keys = list(keys)
-    strategy = choose_strategy(df, strategy)
-    if strategy == "ranked":
-        return settle(_ranked(df, keys, spec, list(aggs), weight))
+    if strategy in (None, "ranked"):
+        return _ranked(df, keys, spec, list(aggs), weight)
+    if strategy not in ("plain", "approx"):
+        raise ValueError(f"unknown quantile strategy {strategy!r}")
     return _by_aggregate(df, keys, spec, list(aggs), weight, strategy, accuracy)
 
 
@@ -89,57 +80,28 @@ def _by_aggregate(df, keys, spec, aggs, weight, strategy, accuracy) -> DataFrame
     return grouped.select(*own, *picks)
 
 
-def _range_edges(df: DataFrame, columns: Sequence[str]) -> list[list[float]]:
-    """Per measure, at most VALUE_RANGES - 1 values that cut its rows into similar shares.
-
-    They come from one sketch over all rows and are constants from here on, so
-    every task, and every repetition of a lost task, cuts alike. They only
-    balance the work: any edges give the same quantiles.
-    """
-    shares = F.array(*[F.lit(i / VALUE_RANGES) for i in range(1, VALUE_RANGES)])
-    row = df.agg(*[
-        F.percentile_approx(F.col(c).cast("double"), shares, SKETCH_ACCURACY).alias(f"__e{i}")
-        for i, c in enumerate(columns)
-    ]).first()
-    return [sorted(set(values or [])) for values in row]
-
-
-def _range_of(value: Column, edges: list[float]) -> Column:
-    """How many sorted edges are not above the value: a binary search in log2 steps."""
-    if not edges:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(e) for e in edges])
-    steps, step = [], VALUE_RANGES // 2
-    while step:
-        steps.append(step)
-        step //= 2
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda seen, s: seen + F.when(F.get(cuts, seen + s - 1) <= value, s).otherwise(0),
-    )
+def _cell(value: Column) -> Column:
+    """A whole number that never falls as the value grows; NaN comes last."""
+    size = F.floor(F.log1p(F.abs(value) / SMALLEST) * CELLS_PER_E)
+    return F.when(F.isnan(value), F.lit(1 << 40)).otherwise(F.signum(value).cast("bigint") * F.least(size, F.lit(1 << 39)))
 
 
 def _ranked(df, keys, spec, aggs, weight) -> DataFrame:
-    """Count per value range, find the ranges that hold a wanted rank, and sort only these."""
+    """Count per cell, find the cells that hold a wanted rank, and sort only these."""
     columns = _columns_of(spec)
-    edges = _range_edges(df, columns)
     weighted = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     measures = F.array(*[
-        F.struct(
-            F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v"),
-            _range_of(F.col(c).cast("double"), edges[i]).alias("__r"),
-        )
-        for i, c in enumerate(columns)
+        F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)
     ])
-    long = df.select(*keys, weighted.alias("__w"), F.inline(measures))
+    long = df.select(*keys, weighted.alias("__w"), F.inline(measures)).withColumn("__r", _cell(F.col("__v")))
     count = F.sum(F.when(F.col("__v").isNotNull(), F.col("__w")).otherwise(0))
+    rows = F.count("__v").alias("__rows")
 
     series = [*keys, "__m"]
     before = Window.partitionBy(*series).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*series)
-    ranges = (
-        long.groupBy(*series, "__r").agg(count.alias("__rc"))
+    cells = (
+        long.groupBy(*series, "__r").agg(count.alias("__rc"), rows, F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
         .withColumn("__base", F.coalesce(F.sum("__rc").over(before), F.lit(0)))
         .withColumn("__n", F.sum("__rc").over(whole))
     )
@@ -152,23 +114,49 @@ def _ranked(df, keys, spec, aggs, weight) -> DataFrame:
     def covers(rank: Column, start: Column, size: Column) -> Column:
         return (rank >= start) & (rank < start + size)
 
-    hit = F.col("__n") == 0
-    for c, q in spec.values():
-        low, high, _ = ranks(q)
-        mine = F.col("__m") == columns.index(c)
-        start, size = F.col("__base"), F.col("__rc")
-        hit = hit | (mine & (covers(low, start, size) | covers(high, start, size)))
-    needed = settle(ranges.where(hit).select(*series, "__r", "__base", "__n"))
-
-    in_range = (
+    def holds_a_rank() -> Column:
+        hit = F.col("__n") == 0
+        for c, q in spec.values():
+            low, high, _ = ranks(q)
+            mine = F.col("__m") == columns.index(c)
+            start, size = F.col("__base"), F.col("__rc")
+            hit = hit | (mine & (covers(low, start, size) | covers(high, start, size)))
+        return hit
+
+    kept = [*series, "__r", "__base", "__n"]
+    needed = settle(cells.where(holds_a_rank()).select(*kept, "__rows", "__lo", "__hi"))
+
+    def most() -> int:
+        return needed.agg(F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__rows")))).first()[0] or 0
+
+    held = join_on(long, needed.select(*kept), [*series, "__r"])
+    values = held.groupBy(*kept, "__v").agg(count.alias("__c"))
+    if most() > ROWS_IN_CELL:
+        values = settle(values)
+    while most() > ROWS_IN_CELL:
+        # cut every cell by its range; a part is again a cell, with its own range
+        bounds = needed.select(*series, "__r", "__lo", "__hi")
+        inside = join_on(values, bounds, [*series, "__r"])
+        width = F.col("__hi") - F.col("__lo")
+        part = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * PARTS), F.lit(PARTS - 1))).otherwise(0)
+        inside = inside.withColumn("__part", part)
+        at = Window.partitionBy(*series, "__r").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        parts = inside.groupBy(*kept, "__part").agg(
+            F.sum("__c").alias("__rc"), F.count("__v").alias("__rows"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        parts = parts.withColumn("__start", F.col("__base") + F.coalesce(F.sum("__rc").over(at), F.lit(0)))
+        hit = parts.drop("__base").withColumnRenamed("__start", "__base").where(holds_a_rank())
+        hit = settle(hit.withColumn("__cell", F.xxhash64("__r", "__part")))
+        same = inside.drop("__base", "__n", "__lo", "__hi").join(
+            hit.select(*[F.col(c).alias(f"__k_{c}") for c in [*series, "__r", "__part"]], "__cell", "__base", "__n"),
+            [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in [*series, "__r", "__part"]])
+        values = settle(same.select(*series, F.col("__cell").alias("__r"), "__base", "__n", "__v", "__c"))
+        needed = hit.select(*series, F.col("__cell").alias("__r"), "__base", "__n", "__rows", "__lo", "__hi")
+
+    in_cell = (
         Window.partitionBy(*series, "__r").orderBy("__v")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = (
-        join_on(long, needed, [*series, "__r"])
-        .groupBy(*series, "__r", "__base", "__n", "__v").agg(count.alias("__c"))
-        .withColumn("__start", F.col("__base") + F.coalesce(F.sum("__c").over(in_range), F.lit(0)))
-    )
+    placed = values.withColumn("__start", F.col("__base") + F.coalesce(F.sum("__c").over(in_cell), F.lit(0)))
     found = []
     for i, (c, q) in enumerate(spec.values()):
         low, high, part = ranks(q)
@@ -210,9 +198,20 @@ def group_quantiles(
     return quantile_table(df, keys, spec, strategy=strategy)
 
 
-def spread_to_targets(df: DataFrame, band: str, k: int) -> DataFrame:
-    """Each row once for every target `band` value within ±k of its own."""
-    return df.withColumn(band, F.explode(F.sequence(F.col(band) - k, F.col(band) + k)))
+def for_targets(df: DataFrame, targets: DataFrame, keys: Sequence[str], band: str, k: int) -> DataFrame:
+    """Each row of `df` once for every target (keys, band) within ±k of its own band, which becomes the target's.
+
+    The few targets are spread over the bands they ask for, and the rows meet them by an equality: a row that no target
+    asks for is never copied.
+    """
+    asked = targets.select(
+        *[F.col(c).alias(f"__t_{c}") for c in keys], F.col(band).alias("__target"),
+        F.explode(F.sequence(F.col(band) - k, F.col(band) + k)).alias("__source"))
+    same = F.col(band) == F.col("__source")
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__t_{c}"))
+    rest = [c for c in df.columns if c != band]
+    return df.join(asked, same).select(*rest, F.col("__target").alias(band)).select(*df.columns)
 
 
 def pooled_quantiles(
@@ -221,6 +220,6 @@ def pooled_quantiles(
 ) -> DataFrame:
     """Quantiles of all rows within ±k of each existing (keys, band) group."""
     by = [*keys, band]
-    targets = lookup(df.select(*by).distinct())
-    pool = join_on(spread_to_targets(df, band, k), targets, by, "left_semi")
+    targets = settle(df.select(*by).distinct())
+    pool = for_targets(df, targets, keys, band, k)
     return quantile_table(pool, by, spec, aggs=[F.count(F.lit(1)).alias(n)], strategy=strategy)

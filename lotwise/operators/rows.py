@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lotwise.operators.keys import join_on
-from lotwise.scale import lookup
+from lotwise.scale import settle
 
 
 def to_canonical(df: DataFrame, mapping: Mapping[str, Column | str]) -> DataFrame:
@@ -62,12 +62,12 @@ def drop_placeholder(df: DataFrame, cols: Sequence[str], value: str) -> DataFram
 
 
 def keep_in(df: DataFrame, col: str, keys_df: DataFrame) -> DataFrame:
-    return df.join(lookup(keys_df.select(col).distinct()), col, "left_semi")
+    return df.join(settle(keys_df.select(col).distinct()), col, "left_semi")
 
 
 def drop_in(df: DataFrame, col: str, keys_df: DataFrame) -> DataFrame:
     """Rows whose value is not listed; a null is not listed."""
-    return df.join(lookup(keys_df.select(col).distinct()), col, "left_anti")
+    return df.join(settle(keys_df.select(col).distinct()), col, "left_anti")
 
 
 def valid_rows(
@@ -121,14 +121,14 @@ def singletons(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def keep_seen(df: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key combination occurs in the other frame."""
-    return df.join(lookup(keys_df.select(*keys).distinct()), list(keys), "left_semi")
+    return df.join(settle(keys_df.select(*keys).distinct()), list(keys), "left_semi")
 
 
 def known_only(df: DataFrame, vocab: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with known values in every column, unseen values with their row counts)."""
     known, reports = df, []
     for c in cols:
-        words = lookup(vocab.select(c).where(F.col(c).isNotNull()).distinct())
+        words = settle(vocab.select(c).where(F.col(c).isNotNull()).distinct())
         reports.append(
             known.join(words, c, "left_anti")
             .groupBy(F.lit(c).alias("column"), F.col(c).alias("value"))

