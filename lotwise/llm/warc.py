@@ -34,11 +34,12 @@ def skippable(magic: int, content: bytes) -> bytes:
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample of payloads, in the order of a hash; empty if there is too little to learn."""
+    """A dictionary from a bounded sample of payloads, drawn by a hash; empty if there is too little to learn."""
     size = F.octet_length("html")
-    sample = pages.where((size > 0) & (size <= SAMPLE_BYTES)).select(
-        F.xxhash64("page_id", "url").alias("dice"), F.col("html").cast("binary").alias("payload"))
-    payloads = [bytes(r.payload) for r in sample.orderBy("dice", F.xxhash64("payload")).limit(SAMPLE_PAGES).collect()]
+    pages = pages.where((size > 0) & (size <= SAMPLE_BYTES))
+    dice = F.pmod(F.xxhash64(F.lit("dictionary"), "page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
+    sample = pages.where(dice < SAMPLE_PAGES / max(pages.count(), 1)).select(F.col("html").cast("binary").alias("payload"))
+    payloads = sorted(bytes(r.payload) for r in sample.limit(2 * SAMPLE_PAGES).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes() if payloads else b""
     except zstandard.ZstdError:
