@@ -119,14 +119,15 @@ def conformal_offsets(
 ) -> DataFrame:
     """Per group, what to add to the quantile `q` so that a share `alpha` of values lies below.
 
-    The score is y - q; the level carries the finite-sample factor (n+1)/n, at most 1.
+    The score is y - q. The rank is that of n + 1 scores, rounded away from the middle: up for an upper quantile, down
+    (to the first at least) for a lower one.
     """
     scores = calibration.dropna(subset=[y, q]).withColumn("_score", F.col(y) - F.col(q))
     return _conformal_rank(scores, group, alpha, min_n)
 
 
 def _conformal_rank(scores: DataFrame, group: str, alpha: float, min_n: int) -> DataFrame:
-    """The ceil(alpha·(n+1))-th smallest score of each group, from value counts.
+    """The alpha·(n+1)-th smallest score of each group, rounded up (down if alpha is below a half), from value counts.
 
     Ranks come from two-level running counts (coarse value cell, then value), so
     a large group is not sorted in one task.
@@ -136,7 +137,8 @@ def _conformal_rank(scores: DataFrame, group: str, alpha: float, min_n: int) ->
     counts = counts.withColumn("_cell", cell)
     cells = counts.groupBy(group, "_cell").agg(F.sum("_c").alias("_cc"))
     over_cells = Window.partitionBy(group).orderBy("_cell")
-    wanted = F.least(F.col("_n"), F.ceil(F.lit(alpha) * (F.col("_n") + 1)))
+    rank = F.lit(alpha) * (F.col("_n") + 1)
+    wanted = F.least(F.col("_n"), F.ceil(rank)) if alpha >= 0.5 else F.greatest(F.lit(1), F.floor(rank))
     hit = (
         cells.withColumn("_upto", F.sum("_cc").over(over_cells))
         .withColumn("_n", F.sum("_cc").over(Window.partitionBy(group)))

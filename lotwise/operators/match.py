@@ -112,17 +112,37 @@ def lookalikes(
     Names are distinct values with counts. Length is part of the equality (one
     side is spread over the lengths it may meet), so only real pairs are formed.
     """
+    names = _names(df, group, name, prefix)
+    a = names.select(group, F.col(name).alias("name_a"), F.col("_n").alias("n_a"), "_p",
+                     F.explode(F.sequence(F.col("_l") - max_len_diff, F.col("_l") + max_len_diff)).alias("_l"))
+    b = names.select(group, F.col(name).alias("name_b"), F.col("_n").alias("n_b"), "_p", "_l")
+    return a.join(b, [group, "_p", "_l"]).where("name_a < name_b").drop("_p", "_l")
+
+
+def _names(df: DataFrame, group: str, name: str, prefix: int) -> DataFrame:
+    """Distinct names with their count, first letters and length."""
     key = F.lower(F.trim(F.col(name)))
-    names = (
+    return (
         df.where(F.length(key) > 0)
         .groupBy(group, name).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_p", F.substring(key, 1, prefix))
         .withColumn("_l", F.length(key))
     )
-    a = names.select(group, F.col(name).alias("name_a"), F.col("_n").alias("n_a"), "_p",
-                     F.explode(F.sequence(F.col("_l") - max_len_diff, F.col("_l") + max_len_diff)).alias("_l"))
-    b = names.select(group, F.col(name).alias("name_b"), F.col("_n").alias("n_b"), "_p", "_l")
-    return a.join(b, [group, "_p", "_l"]).where("name_a < name_b").drop("_p", "_l")
+
+
+def lookalike_counts(
+    df: DataFrame, group: str, name: str, prefix: int = 3, max_len_diff: int = 2, n: str = "n_lookalikes"
+) -> DataFrame:
+    """How many pairs `lookalikes` has per group, without forming them: names per first letters and length pair with
+    each other and with those of the next lengths."""
+    by = [group, "_p", "_l"]
+    sizes = _names(df, group, name, prefix).where(F.col(group).isNotNull()).groupBy(*by).agg(F.count("*").alias("_c"))
+    longer = sizes.select(
+        group, "_p", F.explode(F.sequence(F.col("_l") - max_len_diff, F.col("_l") - 1)).alias("_l"),
+        F.col("_c").alias("_d")).groupBy(*by).agg(F.sum("_d").alias("_d"))
+    own = F.floor(F.col("_c") * (F.col("_c") - 1) / 2)
+    pairs = sizes.join(longer, by, "left").select(group, (own + F.col("_c") * F.coalesce("_d", F.lit(0))).alias("_pairs"))
+    return pairs.groupBy(group).agg(F.sum("_pairs").alias(n)).where(F.col(n) > 0)
 
 
 def market_examples(

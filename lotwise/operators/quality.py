@@ -10,7 +10,7 @@ from lotwise.operators.keys import join_on, with_one_row
 from lotwise.operators.quantiles import for_targets, quantile_table
 from lotwise.operators.rows import valid_rows
 from lotwise.operators.stats import n_rows, pivot, rate_by
-from lotwise.operators.match import lookalikes
+from lotwise.operators.match import lookalike_counts
 from lotwise.scale import settle
 
 Measures = Mapping[str, float]
@@ -367,7 +367,7 @@ def key_audit(df: DataFrame, brand: str = "brand", model: str = "model", short:
         n_rows("n_models"), F.count_if(F.col("n") == 1).alias("n_single"),
         F.count_if(F.length(F.trim(F.col(model))) < short).alias("n_short"),
     )
-    alike = lookalikes(df, brand, model).groupBy(brand).agg(n_rows("n_lookalikes"))
+    alike = lookalike_counts(df, brand, model)
     return join_on(base, alike, [brand], "left").withColumn(
         "n_lookalikes", F.coalesce("n_lookalikes", F.lit(0))
     )

@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations as pairs
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 
 from lotwise.operators.keys import join_on, total_order, with_one_row
 from lotwise.operators.quantiles import quantile_table
@@ -137,17 +135,17 @@ def trend(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def trend2(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Least-squares parabola y = c0 + c1·x + c2·x²."""
-    points = (
-        df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-        .dropna().withColumn("x2", F.col("x") * F.col("x"))
-    )
-    features = VectorAssembler(inputCols=["x", "x2"], outputCol="features").transform(points)
-    fit = LinearRegression(labelCol="y", solver="normal").fit(features)
-    c1, c2 = (float(v) for v in fit.coefficients)
-    return df.sparkSession.createDataFrame(
-        [(float(fit.intercept), c1, c2)], "c0 double, c1 double, c2 double"
-    )
+    """Least-squares parabola y = c0 + c1·x + c2·x², in closed form from sums around the mean of x."""
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    around = with_one_row(points, points.agg(F.avg("x").alias("mx"))).withColumn("u", F.col("x") - F.col("mx"))
+    u, v = F.col("u"), F.col("y")
+    sums = around.agg(
+        F.first("mx").alias("mx"), F.count("*").alias("n"), F.sum(u * u).alias("s2"), F.sum(u * u * u).alias("s3"),
+        F.sum(u * u * u * u).alias("s4"), F.sum(v).alias("sy"), F.sum(u * v).alias("suy"), F.sum(u * u * v).alias("su2y"))
+    c = F.expr("(su2y - s2 * sy / n - s3 * suy / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2)")
+    solved = sums.withColumn("c", c).withColumns({"b": F.expr("(suy - s3 * c) / s2"), "a": F.expr("(sy - s2 * c) / n")})
+    return solved.select(
+        F.expr("a - b * mx + c * mx * mx").alias("c0"), F.expr("b - 2 * c * mx").alias("c1"), F.col("c").alias("c2"))
 
 
 def bin_label(c: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:

@@ -26,14 +26,23 @@ def with_variant(df):
 
 
 def train_rows(t: Tables):
-    return with_variant(t.market.where("brand <> 'Brand#7'"))
+    return with_variant(t.market)
+
+
+def unseen(df):
+    """Some scored rows get a brand, others a variant, that no training row has."""
+    new_brand = F.when(F.col("discount") == 0, "Brand#new").otherwise(F.col("brand"))
+    new_variant = F.when(F.col("discount") == 0.01, "zz new").otherwise(F.col("variant"))
+    return df.withColumns({"brand": new_brand, "variant": new_variant})
 
 
 def test_rows(t: Tables):
-    return with_variant(t.declared)
+    return with_variant(unseen(t.declared))
 
 
-TRAIN = "WITH tr AS (SELECT * REPLACE (variant AS model), ln(price) AS lp FROM m WHERE brand <> 'Brand#7')"
+UNSEEN = """u AS (SELECT * REPLACE (CASE WHEN discount = 0 THEN 'Brand#new' ELSE brand END AS brand,
+  CASE WHEN discount = 0.01::DOUBLE THEN 'zz new' ELSE variant END AS variant) FROM d)"""
+TRAIN = f"WITH {UNSEEN}, tr AS (SELECT * REPLACE (variant AS model), ln(price) AS lp FROM m)"
 
 
 def entity_sql(prefix: str, keys: str) -> str:
@@ -80,7 +89,7 @@ ENCODED_FLAGS = " ".join(f"{e}_{f}_price" for e in ("brand", "model") for f in (
     coalesce(brand_median_age, ga) AS brand_median_age, coalesce(model_count, 0) / coalesce(brand_count, 1) AS model_popularity_ratio,
     CASE WHEN car_age > 0 THEN km / car_age ELSE km END AS km_per_year, ln(km + 1) AS log_km, sqrt(car_age) AS sqrt_age,
     CASE WHEN km < k25 THEN 'very_low' WHEN km < k50 THEN 'low' WHEN km < k75 THEN 'medium' WHEN km < k90 THEN 'high' ELSE 'very_high' END AS mileage_category
-  FROM d CROSS JOIN g LEFT JOIN brands ON brands.brand = d.brand LEFT JOIN models ON models.brand = d.brand AND models.model = d.variant
+  FROM u AS d CROSS JOIN g LEFT JOIN brands ON brands.brand = d.brand LEFT JOIN models ON models.brand = d.brand AND models.model = d.variant
   LEFT JOIN rk ON rk.brand = d.brand AND rk.model = d.variant""",
     f"url brand model_count model_rank_within_brand mileage_category {ENCODED_FLAGS}",
     f"{ENCODED_DOUBLES} brand_avg_km brand_median_km brand_avg_age brand_median_age model_popularity_ratio km_per_year log_km sqrt_age"))
@@ -155,15 +164,21 @@ def _(t: Tables):
     return en.distribution_features(train_rows(t), "brand", min_samples=800)
 
 
-@query("k12_brand_onehot", sql("""
-  SELECT url, CAST(model = 'LARGE' AS INT) AS "ohe_LARGE", CAST(model = 'MEDIUM' AS INT) AS "ohe_MEDIUM", CAST(model = 'PROMO' AS INT) AS "ohe_PROMO",
-    CAST(model = 'SMALL' AS INT) AS "ohe_SMALL" FROM d""", 'url "ohe_LARGE" "ohe_MEDIUM" "ohe_PROMO" "ohe_SMALL"'))
+BRANDS = sorted(f"Brand#{i}" for i in range(1, 26))
+
+
+@query("k12_brand_onehot", sql(
+    "SELECT url, " + ", ".join(f"""CAST(brand = '{b}' AS INT) AS "ohe_{b}\"""" for b in BRANDS[1:]) + f" FROM (WITH {UNSEEN} SELECT * FROM u)",
+    ["url", *[f'"ohe_{b}"' for b in BRANDS[1:]]]))
 def _(t: Tables):
-    onehot = en.OneHot("model", "ohe", drop_input=True).fit(t.market.where("model <> 'STANDARD'"))
-    return onehot.transform(t.declared).select("url", *onehot.columns)
+    onehot = en.OneHot("brand", "ohe", drop_input=True).fit(t.market)
+    return onehot.transform(unseen(t.declared)).select("url", *[f"`{c}`" for c in onehot.columns])
 
 
-@query("k13_sparse_onehot")
+@query("k13_sparse_onehot", sql(f"""
+  WITH {UNSEEN}, v AS (SELECT DISTINCT variant FROM m)
+  SELECT url, variant AS model, CAST(variant IN (SELECT variant FROM v WHERE variant <> (SELECT min(variant) FROM v)) AS INT) AS hits FROM u""",
+    "url model", "hits"))
 def _(t: Tables):
     train = train_rows(t)
     encoded = en.sparse_onehot("model", "vector", train).fit(train).transform(test_rows(t))
@@ -186,10 +201,10 @@ def _(t: Tables):
     return en.Standardize().fit(t.market.select(*columns)).transform(t.declared.select(*columns))
 
 
-@query("k16_cv_encoder", sql("""
-  WITH a AS (SELECT brand, stddev_samp(price) / (avg(price) + 1) AS c FROM m WHERE brand <> 'Brand#7' GROUP BY 1),
-  b AS (SELECT variant AS model, stddev_samp(price) / (avg(price) + 1) AS c FROM m WHERE brand <> 'Brand#7' GROUP BY 1)
-  SELECT url, coalesce(a.c, 0) AS brand_price_cv, coalesce(b.c, 0) AS model_price_cv FROM d LEFT JOIN a ON a.brand = d.brand LEFT JOIN b ON b.model = d.variant""",
+@query("k16_cv_encoder", sql(f"""
+  WITH {UNSEEN}, a AS (SELECT brand, stddev_samp(price) / (avg(price) + 1) AS c FROM m GROUP BY 1),
+  b AS (SELECT variant AS model, stddev_samp(price) / (avg(price) + 1) AS c FROM m GROUP BY 1)
+  SELECT url, coalesce(a.c, 0) AS brand_price_cv, coalesce(b.c, 0) AS model_price_cv FROM u AS d LEFT JOIN a ON a.brand = d.brand LEFT JOIN b ON b.model = d.variant""",
     "url", "brand_price_cv model_price_cv"))
 def _(t: Tables):
     out = en.CvEncoder().fit(train_rows(t)).transform(test_rows(t))
@@ -199,7 +214,7 @@ def _(t: Tables):
 @query("k19_lean_matrix", sql(f"""
   {STATE} SELECT url, d.year AS y, coalesce(brand_mean_log_price, gm) AS brand_mean_log_price, coalesce(model_rank_within_brand, 0) AS model_rank_within_brand,
     pow(car_age, 3) AS age_cubed, CAST(d.year >= 2002 AS INT) AS is_almost_new, coalesce(model_iqr_log_price, 1.349 * gs) AS model_iqr_log_price
-  FROM d CROSS JOIN g LEFT JOIN brands ON brands.brand = d.brand LEFT JOIN models ON models.brand = d.brand AND models.model = d.variant
+  FROM u AS d CROSS JOIN g LEFT JOIN brands ON brands.brand = d.brand LEFT JOIN models ON models.brand = d.brand AND models.model = d.variant
   LEFT JOIN rk ON rk.brand = d.brand AND rk.model = d.variant""",
     "url", "brand_mean_log_price model_rank_within_brand age_cubed is_almost_new model_iqr_log_price"))
 def _(t: Tables):
@@ -208,11 +223,11 @@ def _(t: Tables):
     return matrix.select("url", "brand_mean_log_price", "model_rank_within_brand", "age_cubed", "is_almost_new", "model_iqr_log_price")
 
 
-@query("k20_category_codes", sql("""
-  WITH v AS (SELECT variant AS model, row_number() OVER (ORDER BY variant) - 1 AS code FROM (SELECT DISTINCT variant FROM m WHERE seller < 5 OR variant < 'g'))
-  SELECT url, coalesce(code, (SELECT count(*) FROM v)) AS model_code FROM d LEFT JOIN v ON v.model = d.variant""", "url", "model_code"))
+@query("k20_category_codes", sql(f"""
+  WITH {UNSEEN}, v AS (SELECT variant AS model, row_number() OVER (ORDER BY variant) - 1 AS code FROM (SELECT DISTINCT variant FROM m))
+  SELECT url, coalesce(code, (SELECT count(*) FROM v)) AS model_code FROM u AS d LEFT JOIN v ON v.model = d.variant""", "url", "model_code"))
 def _(t: Tables):
-    train = with_variant(t.market.where("seller < 5 or variant < 'g'"))
+    train = train_rows(t)
     return en.CategoryCodes(["model"]).fit(train).transform(test_rows(t)).select("url", "model_code")
 
 
@@ -279,7 +294,80 @@ def _(t: Tables):
     return model.transform(test).select("url", F.exp("prediction").alias("q50")).withColumn("rounds", F.lit(model.best_iteration))
 
 
-CORRIDOR = """WITH dm AS (SELECT * FROM d), mm AS (SELECT * FROM m WHERE brand <> 'Brand#7'),
+def loss_check(name: str, model_loss, constant_sql: str, build):
+    """A query whose SQL gives the loss of the best constant over all rows that the model learned from; the model's must
+    be lower."""
+    @query(name, sql(f"SELECT count(*) AS n, {constant_sql} AS constant_loss, TRUE AS better FROM m", "n better", "constant_loss"))
+    def _(t: Tables):
+        scored_rows, constant = build(t)
+        one = scored_rows.agg(
+            F.count("*").alias("n"), F.avg(model_loss(F.col("price"), F.lit(constant))).alias("constant_loss"),
+            F.avg(model_loss(F.col("price"), F.col("predicted"))).alias("loss"))
+        return one.select("n", "constant_loss", (F.col("loss") < F.col("constant_loss")).alias("better"))
+
+
+def pinball(alpha: float):
+    return lambda y, q: F.greatest((y - q) * alpha, (y - q) * (alpha - 1))
+
+
+def pinball_sql(alpha: float) -> str:
+    c = f"(SELECT quantile_cont(price, {alpha}::DOUBLE) FROM m)"
+    return f"avg(greatest((price - {c}) * {alpha}::DOUBLE, (price - {c}) * ({alpha}::DOUBLE - 1)))"
+
+
+def squared(y, prediction):
+    return F.pow(F.ln(y) - F.ln(prediction), 2)
+
+
+SQUARED_SQL = "avg(pow(ln(price) - (SELECT avg(ln(price)) FROM m), 2))"
+
+
+def quantile_of(t: Tables, alpha: float) -> float:
+    return iv.quantile_table(t.market, [], {"c": ("price", alpha)}).first().c
+
+
+def log_mean(t: Tables) -> float:
+    return t.market.agg(F.exp(F.avg(F.ln("price")))).first()[0]
+
+
+def _linear(t: Tables):
+    train, _ = encoded_pair(t)
+    model = boost.linear_price(train.drop("features"), FEATURES)
+    return model.transform(train).withColumn("predicted", F.exp("prediction")), log_mean(t)
+
+
+def _boosted(t: Tables):
+    train, _ = encoded_pair(t)
+    model = boost.boosted_price(train.drop("features"), FEATURES, rounds=3, depth=3)
+    return model.transform(train).withColumn("predicted", F.exp("prediction")), log_mean(t)
+
+
+def _quantile(t: Tables):
+    train, _ = encoded_pair(t)
+    model = boost.QuantileBoost(0.85, rounds=4, depth=3).fit(train)
+    return model.transform(train).withColumn("predicted", F.exp("prediction")), quantile_of(t, 0.85)
+
+
+def _stopped(t: Tables):
+    train, _ = encoded_pair(t)
+    model = boost.QuantileBoost(0.5, rounds=6, depth=3, validation_col="is_es", patience=2).fit(ev.with_es_slice(train, ["url"]))
+    return model.transform(train).withColumn("predicted", F.exp("prediction")), quantile_of(t, 0.5)
+
+
+def _predicted(t: Tables):
+    train, _ = encoded_pair(t)
+    models = boost.fit_quantiles(train, rounds=2, depth=3)
+    return boost.predict_quantiles(train, models).withColumn("predicted", F.col("q15")), quantile_of(t, 0.15)
+
+
+loss_check("l4_linear_price_loss", squared, SQUARED_SQL, _linear)
+loss_check("l5_boosted_price_loss", squared, SQUARED_SQL, _boosted)
+loss_check("l6_quantile_boost_loss", pinball(0.85), pinball_sql(0.85), _quantile)
+loss_check("l7_early_stopping_loss", pinball(0.5), pinball_sql(0.5), _stopped)
+loss_check("l9_predict_quantiles_loss", pinball(0.15), pinball_sql(0.15), _predicted)
+
+
+CORRIDOR = f"WITH {UNSEEN}, " + """dm AS (SELECT * FROM u), mm AS (SELECT * FROM m),
   kk AS (SELECT DISTINCT brand, variant, year FROM dm),
   l0 AS (SELECT brand, variant, year, count(*) AS n, {q} FROM mm GROUP BY 1, 2, 3 HAVING count(*) >= 5),
   l1 AS (SELECT kk.brand, kk.variant, kk.year, count(*) AS n, {q} FROM kk JOIN mm ON mm.brand = kk.brand AND mm.variant = kk.variant
@@ -344,8 +432,8 @@ def corridor_predict(train, test):
 
 @query("l13_cross_validate")
 def _(t: Tables):
-    fit = ev.boosted_fit_predict(FEATURES, CONFIG, rounds=2, depth=3)
-    return ev.cross_validate(with_variant(t.market), fit, k=2)
+    fit = ev.boosted_fit_predict(FEATURES, CONFIG, rounds=1, depth=3)
+    return ev.cross_validate(with_variant(t.market), fit, k=5)
 
 
 CV_FOLD = f"CAST({SPLIT.format(seed=42, n=3)} AS INT)"
@@ -395,7 +483,25 @@ def _(t: Tables):
         return model.transform(en.assemble(rows, FEATURES)).withColumn("q50", F.exp("prediction"))
 
     return ev.permutation_importance(
-        predict, test.select("price", *FEATURES), FEATURES[:3], ev.pinball_loss("price", "q50", 0.5))
+        predict, test.select("price", *FEATURES), FEATURES, ev.pinball_loss("price", "q50", 0.5))
+
+
+@query("l18_bundle_unchanged", sql("SELECT url, TRUE AS same FROM d", "url same"))
+def _(t: Tables):
+    """Predictions before saving and after loading."""
+    encoder = en.PriceEncoder(CONFIG).fit(train_rows(t))
+    train = en.assemble(encoder.transform(train_rows(t)).withColumn("log_price", F.ln("price")), FEATURES)
+    models, path = boost.fit_quantiles(train, rounds=1, depth=2), scratch_path(t.spark, "bundle")
+    boost.save_bundle(t.spark, path, encoder, models, FEATURES)
+    loaded, again, features = boost.load_bundle(t.spark, path)
+    rows, names = test_rows(t), ("q15", "q50", "q85")
+    before = boost.predict_quantiles(en.assemble(encoder.transform(rows), FEATURES), models)
+    before = before.select(*rows.columns, *[F.col(c).alias(f"saved_{c}") for c in names])
+    after = boost.predict_quantiles(en.assemble(loaded.transform(before), features), again)
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"saved_{c}"))
+    return after.select("url", same.alias("same"))
 
 
 @query("l18_bundle")
@@ -403,9 +509,9 @@ def _(t: Tables):
     encoder = en.PriceEncoder(CONFIG).fit(train_rows(t))
     train = en.assemble(encoder.transform(train_rows(t)).withColumn("log_price", F.ln("price")), FEATURES)
     path = scratch_path(t.spark, "bundle")
-    boost.save_bundle(t.spark, path, encoder, boost.fit_quantiles(train, {"q50": 0.5}, rounds=2, depth=3), FEATURES)
+    boost.save_bundle(t.spark, path, encoder, boost.fit_quantiles(train, rounds=2, depth=3), FEATURES)
     encoder, models, features = boost.load_bundle(t.spark, path)
-    return boost.predict_quantiles(en.assemble(encoder.transform(test_rows(t)), features), models).select("url", "q50")
+    return boost.predict_quantiles(en.assemble(encoder.transform(test_rows(t)), features), models).select("url", "q15", "q50", "q85")
 
 
 @query("l19_predict_interval", sql(
@@ -431,7 +537,18 @@ def _(t: Tables):
     return out.select("url", "age_bucket", "q85", "q85_conformal")
 
 
-@query("q1_conformal_coverage")
+@query("q1_conformal_coverage", sql(f"""
+  {SCORED}, x AS (SELECT *, {AGE3} AS age_bucket, {HELD} AS held FROM s),
+  lo AS (SELECT age_bucket, price - q15 AS score, row_number() OVER (PARTITION BY age_bucket ORDER BY price - q15) AS rn,
+    count(*) OVER (PARTITION BY age_bucket) AS n FROM x WHERE held),
+  hi AS (SELECT age_bucket, price - q85 AS score, row_number() OVER (PARTITION BY age_bucket ORDER BY price - q85) AS rn,
+    count(*) OVER (PARTITION BY age_bucket) AS n FROM x WHERE held),
+  a AS (SELECT age_bucket, score AS lo FROM lo WHERE rn = greatest(1, floor(0.15::DOUBLE * (n + 1)))),
+  b AS (SELECT age_bucket, score AS hi FROM hi WHERE rn = least(n, ceil(0.85::DOUBLE * (n + 1))))
+  SELECT age_bucket, count(*) AS n, avg((price BETWEEN q15 + lo AND q85 + hi)::INT) * 100 AS coverage_pct,
+    avg((price < q15 + lo)::INT) * 100 AS below_pct, avg((price > q85 + hi)::INT) * 100 AS above_pct
+  FROM x JOIN a USING (age_bucket) JOIN b USING (age_bucket) WHERE NOT held GROUP BY 1""",
+    "age_bucket n", "coverage_pct below_pct above_pct"))
 def _(t: Tables):
     out = iv.conformal_by_age(scored(t), ["url"], "price", "car_age", {"q15": 0.15, "q85": 0.85})
     return coverage(out, "price", "q15_conformal", "q85_conformal", ["age_bucket"])
@@ -474,9 +591,9 @@ def _(t: Tables):
 
 
 @query("q6_power_ratios", sql("""
-  SELECT url, horsepower / (car_age + 1) AS hp_per_age, horsepower / (km + 1000) AS hp_per_km, horsepower * car_age AS hp_x_age,
-    horsepower / avg(horsepower) OVER (PARTITION BY brand) AS hp_vs_brand FROM l""", "url", "hp_per_age hp_per_km hp_x_age hp_vs_brand"))
+  SELECT url, horsepower / (car_age + 1) AS hp_per_age, horsepower / (km + 1000) * 1000000 AS hp_per_million_km, horsepower * car_age AS hp_x_age,
+    horsepower / avg(horsepower) OVER (PARTITION BY brand) AS hp_vs_brand FROM l""", "url", "hp_per_age hp_per_million_km hp_x_age hp_vs_brand"))
 def _(t: Tables):
     rows = stats.with_group_stat(power_ratios(t.aged), ["brand"], "horsepower", "avg", "brand_hp")
     return rows.select(
-        "url", "hp_per_age", "hp_per_km", "hp_x_age", (F.col("horsepower") / F.col("brand_hp")).alias("hp_vs_brand"))
+        "url", "hp_per_age", (F.col("hp_per_km") * 1_000_000).alias("hp_per_million_km"), "hp_x_age", (F.col("horsepower") / F.col("brand_hp")).alias("hp_vs_brand"))

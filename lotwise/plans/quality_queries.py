@@ -344,14 +344,14 @@ def _(t: Tables):
 
 
 @query("j19_key_audit", sql("""
-  WITH c AS (SELECT brand, variant, count(*) AS n FROM l WHERE seller < 3 GROUP BY 1, 2),
+  WITH c AS (SELECT brand, variant, count(*) AS n FROM l GROUP BY 1, 2),
   k AS (SELECT a.brand, count(*) AS n_lookalikes FROM c a JOIN c b ON a.brand = b.brand AND a.variant < b.variant
     AND substr(a.variant, 1, 3) = substr(b.variant, 1, 3) AND abs(length(a.variant) - length(b.variant)) <= 2 GROUP BY 1)
   SELECT brand, count(*) AS n_models, count(*) FILTER (n = 1) AS n_single, count(*) FILTER (length(variant) < 9) AS n_short,
     coalesce(max(n_lookalikes), 0) AS n_lookalikes FROM c LEFT JOIN k USING (brand) GROUP BY 1""",
     "brand n_models n_single n_short n_lookalikes"))
 def _(t: Tables):
-    return q.key_audit(t.listings.where("seller < 3"), "brand", "variant", 9)
+    return q.key_audit(t.listings, "brand", "variant", 9)
 
 
 @query("j20_snapshot_profile", sql("""

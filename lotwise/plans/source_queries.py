@@ -131,10 +131,13 @@ def _(t: Tables):
     return stage_counts(stages)
 
 
-@query("a14_observed_rows", sql("SELECT flag, count(*) AS n FROM l GROUP BY flag", "flag n"))
+@query("a14_observed_rows", sql("SELECT count(*) AS n_observed, count(DISTINCT flag) AS n_flags FROM l", "n_observed n_flags"))
 def _(t: Tables):
-    watched, _seen = with_stats(t.listings, "listings")
-    return watched.groupBy("flag").agg(n_rows())
+    """What the observation saw while the rows went by on their way to a count per flag."""
+    watched, seen = with_stats(t.listings, "listings")
+    flags = watched.groupBy("flag").agg(n_rows()).count()
+    return t.spark.range(1).select(
+        F.lit(seen.get["n"]).cast("bigint").alias("n_observed"), F.lit(flags).cast("bigint").alias("n_flags"))
 
 
 @query("a15_resolve_columns", sql("SELECT url, brand, price FROM l", "url brand", "price"))

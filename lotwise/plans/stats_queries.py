@@ -35,6 +35,13 @@ def _(t: Tables):
     return stats.distinct_profile(t.listings, ["url", "brand"], approximate=True)
 
 
+@query("e2_approximate_is_close", sql("SELECT count(*) AS n_rows, TRUE AS close FROM l", "n_rows close"))
+def _(t: Tables):
+    """The approximate number of distinct urls is within four standard errors (5 % each) of the exact one."""
+    exact, rough = F.countDistinct("url"), F.approx_count_distinct("url")
+    return t.listings.agg(F.count("*").alias("n_rows"), (F.abs(rough - exact) <= exact * 0.2).alias("close"))
+
+
 @query("e3_group_stats", sql("""
   SELECT brand, count(*) AS n, avg(price) AS mean, median(price) AS median, stddev_samp(price) AS std, min(price) AS min,
          max(price) AS max FROM l GROUP BY brand""", "brand n", "mean median std min max"))
@@ -75,6 +82,17 @@ def _(t: Tables):
     return group_quantiles(t.listings, ["brand"], ["price", "km"], [0.25, 0.75], strategy="ranked")
 
 
+@query("e6_approx_rank_error", sql("SELECT brand, TRUE AS close FROM l GROUP BY brand", "brand close"))
+def _(t: Tables):
+    """At most a share of 1/10,000 of a group's rows (and one row) lies between an approximate quartile and its rank."""
+    table = group_quantiles(t.listings, ["brand"], ["price"], [0.25], strategy="approx")
+    both = t.listings.join(table, "brand").groupBy("brand").agg(
+        F.count("*").alias("n"), F.count_if(F.col("price") < F.col("price_p25")).alias("below"),
+        F.count_if(F.col("price") <= F.col("price_p25")).alias("upto"))
+    wanted, slack = F.col("n") * 0.25, F.col("n") * 1e-4 + 1
+    return both.select("brand", ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("close"))
+
+
 @query("e6_group_quantiles_approx")
 def _(t: Tables):
     return group_quantiles(t.listings, ["brand"], ["price", "km"], [0.25, 0.75], strategy="approx")
@@ -126,7 +144,13 @@ def _(t: Tables):
     return stats.trend(t.listings, "km", "price", ["brand"])
 
 
-@query("e13_trend2")
+@query("e13_trend2", sql("""
+  WITH p AS (SELECT km / 1000 AS x, price AS y FROM l), mx AS (SELECT avg(x) AS mx FROM p), q AS (SELECT x - mx AS u, y FROM p, mx),
+  s AS (SELECT count(*) AS n, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(y) AS sy, sum(u * y) AS suy,
+    sum(u * u * y) AS su2y FROM q),
+  c AS (SELECT *, (su2y - s2 * sy / n - s3 * suy / s2) / (s4 - s2 * s2 / n - s3 * s3 / s2) AS c FROM s),
+  b AS (SELECT *, (suy - s3 * c) / s2 AS b, (sy - s2 * c) / n AS a FROM c)
+  SELECT a - b * mx + c * mx * mx AS c0, b - 2 * c * mx AS c1, c AS c2 FROM b, mx""", "", "c0 c1 c2"))
 def _(t: Tables):
     return stats.trend2(t.listings.withColumn("k", F.col("km") / 1000), "k", "price")
 
@@ -440,10 +464,10 @@ def _(t: Tables):
 
 @query("h1_order_latest", sql("""
   SELECT url, stamp FROM (SELECT url, CASE WHEN flag <> 'A' THEN index_date END AS stamp FROM l)
-  ORDER BY stamp DESC NULLS LAST, url LIMIT 500""", "url stamp"))
+  ORDER BY stamp DESC NULLS LAST, url""", "url stamp"))
 def _(t: Tables):
     seen = t.listings.select("url", F.when(F.col("flag") != "A", F.col("index_date")).alias("stamp"))
-    return stats.order_latest(seen, "stamp", ["url"]).limit(500)
+    return stats.order_latest(seen, "stamp", ["url"])
 
 
 @query("h2_keep_top_groups", sql("""
@@ -490,11 +514,11 @@ def _(t: Tables):
 
 
 @query("i4_vocabulary_diff", sql("""
-  SELECT variant || year AS word, count(*) AS n_rows,
-         CAST(variant || year IN (SELECT variant || year FROM l WHERE seller < 3) AS INT) AS seen FROM l GROUP BY 1""", "word n_rows seen"))
+  SELECT variant || '-' || seller AS word, count(*) AS n_rows,
+         CAST(variant || '-' || seller IN (SELECT variant || '-' || seller FROM m) AS INT) AS seen FROM l GROUP BY 1""", "word n_rows seen"))
 def _(t: Tables):
-    words = t.listings.withColumn("word", F.concat("variant", F.col("year").cast("string")))
-    diff = rows.vocabulary_diff(words, words.where("seller < 3"), "word")
+    words = t.listings.withColumn("word", F.concat_ws("-", "variant", "seller"))
+    diff = rows.vocabulary_diff(words, words.where("flag = 'N'"), "word")
     return diff.withColumn("seen", F.col("seen").cast("int"))
 
 

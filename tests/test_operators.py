@@ -120,6 +120,8 @@ def test_lookalikes_equal_brute_force(spark):
                 wanted[(g, *sorted((a, b)))] += 1
     found = match.lookalikes(spark.createDataFrame(data, "g string, n string"), "g", "n").collect()
     assert Counter((r.g, r.name_a, r.name_b) for r in found) == wanted
+    counts = match.lookalike_counts(spark.createDataFrame(data, "g string, n string"), "g", "n").collect()
+    assert {r.g: r.n_lookalikes for r in counts} == Counter(g for g, _, _ in wanted.elements())
 
 
 @pytest.mark.parametrize("strategy", ["plain", "ranked"])
@@ -216,6 +218,62 @@ def test_files(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1]: r.reason for r in skipped.collect()} == {"b.csv": "empty file", "e.csv": "missing: price"}
 
 
+QUOTED = 'url,marque,price\nu1,"say ""hi"", ok",10\nu2,"two\nlines",20\n'
+
+
+def test_quotes_and_line_breaks(spark, tmp_path):
+    """In every reader, for a folder, a file and a glob."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(QUOTED)
+    columns, want = ["url", "marque", "price"], [("u1", 'say "hi", ok', "10"), ("u2", "two\nlines", "20")]
+    for path in (str(folder), str(folder / "a.csv"), str(tmp_path / "*" / "*.csv"), str(tmp_path / "i*")):
+        for frame in (
+            files.read_listings(spark, path, columns), files.read_listings(spark, path, columns, "skip"),
+            files.read_with_rejects(spark, path, columns)[0], files.read_validated(spark, path, columns)[0],
+            files.read_ragged(spark, path, columns),
+        ):
+            assert sorted(tuple(r) for r in frame.select(*columns).collect()) == want
+    written = files.write_csv(spark.createDataFrame(want, "url string, marque string, price string"), str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in files.read_listings(spark, written, columns).collect()) == want
+    assert files.read_validated(spark, str(folder), ["other"])[1].first().reason == "missing: other"
+
+
+def test_header_probe_scans_no_content(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.csv").write_text(f"a,b{i}\n" + "1,2\n" * 10)
+    probed = files.probe_headers(spark, str(tmp_path))
+    assert sorted(r.header for r in probed.collect()) == [f"a,b{i}" for i in range(5)]
+    assert "FileScan" not in probed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_crosswalk_multiplies_no_rows(spark):
+    from lotwise.functions.parse import crosswalk
+
+    mapping = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z")], "old string, new string")
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    assert Counter(r.k for r in crosswalk(df, "k", mapping).collect()) == Counter(["x", "z", "c", None])
+
+
+def test_scope_deletes_its_tables(spark, tmp_path):
+    import os
+
+    from lotwise import scale
+
+    folder = scale.scratch_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with scale.scratch_scope(spark):
+        assert scale.settle(spark.range(5)).count() == 5
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) <= before
+
+
+def test_lower_conformal_rank_rounds_down(spark):
+    df = spark.createDataFrame([("g", float(i), 0.0) for i in range(1, 11)], "g string, y double, q double")
+    offsets = {a: intervals.conformal_offsets(df, "g", "y", "q", a).first().offset for a in (0.05, 0.15, 0.25, 0.85, 0.99)}
+    assert offsets == {0.05: 1.0, 0.15: 1.0, 0.25: 2.0, 0.85: 10.0, 0.99: 10.0}
+
+
 def test_ragged_rows_are_cut(spark, tmp_path):
     (tmp_path / "r.csv").write_text("a,b\n1,2,3\n4\n")
     found = sorted((r.a, r.b) for r in files.read_ragged(spark, str(tmp_path), ["a", "b"]).collect())

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from lotwise.scale import scratch_scope
 
 SQL, QUERIES = oracle_sql(), queries()
 
@@ -37,11 +38,12 @@ def bag(columns, rows):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, sf_dir, name):
-    frame = QUERIES[name](spark, sf_dir)
-    cursor = duck.execute(SQL[name])
-    columns = [d[0] for d in cursor.description]
-    assert sorted(frame.columns) == sorted(columns)
-    assert bag(frame.columns, [tuple(r) for r in frame.collect()]) == bag(columns, cursor.fetchall())
+    with scratch_scope(spark):
+        frame = QUERIES[name](spark, sf_dir)
+        cursor = duck.execute(SQL[name])
+        columns = [d[0] for d in cursor.description]
+        assert sorted(frame.columns) == sorted(columns)
+        assert bag(frame.columns, [tuple(r) for r in frame.collect()]) == bag(columns, cursor.fetchall())
 
 
 def test_every_sql_text_has_a_query():
