@@ -319,7 +319,9 @@ def _chosen(lift: dict[str, float], toxic: dict[str, int], most: int, taken: set
     chosen: set[str] = set(taken)
     for f in sorted(strong, key=lambda f: (len(f.rstrip("*+")), len(f), f)):
         stem = f.rstrip("*+")
-        covered = stem in taken or any(stem[:n] + "*" + more in chosen for n in range(1, len(stem) + 1) for more in ("", "+"))
+        # two words with a beginning don't speak for one
+        kinds = ("*", "*+") if f.endswith("+") else ("*",)
+        covered = stem in taken or any(stem[:n] + kind in chosen for n in range(1, len(stem) + 1) for kind in kinds)
         if not covered and surest[stem] <= SURER * lift[f]:
             chosen.add(f)
     return sorted(chosen - taken, key=lambda f: (-toxic[f], f))[:most]
@@ -334,15 +336,18 @@ def _start(sample: DataFrame, voters: list[str], share: float) -> tuple[np.ndarr
     votes = unpack_votes(np.array([r.votes for r in rows], np.int64), len(voters))
     n, toxic = np.array([r["count"] for r in rows], float), np.array([r.toxic for r in rows])
     some = votes.any(axis=1)
-    rates, any_vote = np.empty((2, len(voters))), [0.1, 0.5]
-    for y in (0, 1):
+    rates, any_vote = np.repeat(np.array(UNSEEN)[:, None], len(voters), axis=1), [0.02, 0.5]
+    odds = share / (1 - share)
+    if len(set(toxic.tolist())) < 2:
+        # one class alone tells nothing
+        votes, some = votes[:0], some[:0]
+    for y in (0, 1) if len(votes) else ():
         of, has = toxic == y, (toxic == y) & some
         rates[y] = ((votes * n[:, None])[has].sum(axis=0) + (0.02, 0.5)[y]) / (n[has].sum() + 1)
         any_vote[y] = (n[has].sum() + 1) / (n[of].sum() + 2)
     seen = votes[some].any(axis=0)
     for j in np.flatnonzero(~seen):
         rates[:, j] = UNSEEN
-    odds = share / (1 - share)
     none, some_votes = odds * (1 - any_vote[1]) / (1 - any_vote[0]), odds * any_vote[1] / any_vote[0]
     return rates, none / (1 + none), some_votes / (1 + some_votes)
 
