@@ -20,9 +20,6 @@ from lotwise.operators.stats import best_row, n_rows
 from lotwise.scale import settle
 from lotwise.sources.files import union_all
 
-# Rows a bucket should hold when features are shuffled.
-SHUFFLE_ROWS = 50_000
-
 
 def split(df: DataFrame, key: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """`is_test` by seeded hash of the key: copies of a key stay on one side."""
@@ -129,21 +126,22 @@ def compare_specs(
 
 def permutation_importance(
     predict: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str],
-    loss: Callable[[DataFrame], DataFrame], seed: int = 42,
+    loss: Callable[[DataFrame], DataFrame], seed: int = 42, buckets: int = 16,
 ) -> DataFrame:
     """Rise of the loss when one feature's values are exchanged between rows.
 
-    Rows get a random place (kept in a table, so a lost task cannot change it) and are dealt into buckets of bounded size. In a bucket every row takes
-    the features of the row after it; one shuffle serves all features.
+    A row's bucket and its place there come from a hash of its values, so they
+    depend neither on the number of rows nor on how they are spread. In a bucket
+    every row takes the features of the row after it; one shuffle serves all
+    features. Give large tables more `buckets`: one is sorted by one task.
     """
-    placed = settle(df.withColumn("_u", F.rand(seed)))
-    buckets = max(1, -(-placed.count() // SHUFFLE_ROWS))
+    place = F.xxhash64(F.lit(seed), *df.columns)
+    placed = df.withColumns({"_u": place, "_b": F.pmod(F.xxhash64(place), F.lit(buckets))})
     around = Window.partitionBy("_b").orderBy("_u")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     values = F.struct(*features)
     swapped = settle(
-        placed.withColumn("_b", F.floor(F.col("_u") * buckets))
-        .withColumn("_other", F.coalesce(F.lead(values).over(around), F.first(values).over(whole)))
+        placed.withColumn("_other", F.coalesce(F.lead(values).over(around), F.first(values).over(whole)))
         .drop("_u", "_b")
     )
     base = loss(predict(swapped)).first()[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lotwise.operators.keys import join_on
 from lotwise.operators.quantiles import for_targets, quantile_table
-from lotwise.operators.windows import arg_row, dedup_subset
+from lotwise.operators.windows import dedup_subset
 from lotwise.scale import settle
 
 
@@ -152,20 +152,29 @@ def market_examples(
 ) -> DataFrame:
     """Example market rows for each declared combination: cheapest, weakest, most driven.
 
-    The example of a (key, band) group does not depend on who asks for it, so
-    it is found once per group and then looked up. Counts are at both levels.
+    The example of a (key, band) group does not depend on who asks for it, so all
+    kinds and the count come from one aggregate of the market and are then looked
+    up. Counts are at both levels.
     """
     picks = picks or {"lowest_price": ("price", "min"), "lowest_hp": ("horsepower", "min"), "highest_km": ("km", "max")}
     by = [*eq, band]
-    slim = market.select(*by, *show)
-    examples = None
-    for kind, (col, how) in picks.items():
-        one = arg_row(slim, by, col, how).withColumn("example_type", F.lit(kind))
-        examples = one if examples is None else examples.unionByName(one)
+
+    def example(col: str, how: str):
+        """The shown columns of the row that comes first by `col`, then by all of them."""
+        best = F.col(col) if how == "min" else -F.col(col)
+        return F.min_by(F.struct(*show), F.when(F.col(col).isNotNull(), F.struct(best, *show)))
+
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("example_type"), F.col(f"_{kind}").alias("row")) for kind in picks])
+    groups = settle(market.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count_at_band"), *[example(col, how).alias(f"_{kind}") for kind, (col, how) in picks.items()]))
+    examples = (
+        groups.select(*by, F.inline(kinds)).where("row is not null").select(*by, "row.*", "example_type")
+    )
     found = offset_join(decl, examples, eq, band, offsets)
     unique = dedup_subset(
         found, [*by, "price", "km"], tie=["example_type", "target_band", "band_offset"]
     )
-    here = market.groupBy(*by).agg(F.count(F.lit(1)).alias("count_at_band"))
+    here = groups.select(*by, "count_at_band")
     everywhere = here.groupBy(*eq).agg(F.sum("count_at_band").alias("count_all_bands"))
     return unique.join(here, by, "left").join(everywhere, list(eq), "left")

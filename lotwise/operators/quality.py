@@ -207,13 +207,20 @@ def iqr_sweep(
     )
 
 
+def best_multiplier(sweep: DataFrame) -> DataFrame:
+    """The multiplier with the highest balance of retention and removal; of equal ones the smallest. None if no
+    multiplier removes enough."""
+    scored = sweep.where(F.col("balance_score").isNotNull())
+    return scored.orderBy(F.desc("balance_score"), "multiplier").limit(1).select("multiplier", "balance_score")
+
+
 def common_keys(df: DataFrame, key: str, min_count: int) -> DataFrame:
     return df.groupBy(key).agg(n_rows("_n")).where(F.col("_n") >= min_count).select(key)
 
 
 def drop_rare(df: DataFrame, key: str, min_count: int) -> DataFrame:
-    """Rows of keys that occur at least `min_count` times."""
-    return df.join(settle(common_keys(df, key, min_count)), key, "left_semi")
+    """Rows of keys that occur at least `min_count` times; null is a key of its own."""
+    return join_on(df, settle(common_keys(df, key, min_count)), [key], "left_semi")
 
 
 def rare_counts(df: DataFrame, key: str, min_count: int) -> DataFrame:

@@ -327,9 +327,9 @@ def five_number(
 
 
 def keep_top_groups(df: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows of the n most frequent groups; ties go to the smaller key."""
+    """Rows of the n most frequent groups; ties go to the smaller key, null is a key of its own."""
     top = df.groupBy(key).agg(n_rows()).orderBy(F.desc("n"), F.asc(key)).limit(n)
-    return df.join(settle(top.select(key)), key, "left_semi")
+    return join_on(df, settle(top.select(key)), [key], "left_semi")
 
 
 def extremes(df: DataFrame, col: str, n: int, tie: Sequence[str] = ()) -> DataFrame:

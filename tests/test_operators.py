@@ -255,6 +255,12 @@ def test_crosswalk_multiplies_no_rows(spark):
     assert Counter(r.k for r in crosswalk(df, "k", mapping).collect()) == Counter(["x", "z", "c", None])
 
 
+def test_null_is_a_key(spark):
+    df = spark.createDataFrame([(None,)] * 5 + [("a",)] * 4 + [("b",)], "k string")
+    assert Counter(r.k for r in quality.drop_rare(df, "k", 4).collect()) == Counter([None] * 5 + ["a"] * 4)
+    assert Counter(r.k for r in stats.keep_top_groups(df, "k", 1).collect()) == Counter([None] * 5)
+
+
 def test_scope_deletes_its_tables(spark, tmp_path):
     import os
 
