@@ -126,3 +126,33 @@ def token_counts(docs: DataFrame) -> DataFrame:
 @query("op7_html_text", "pages")
 def page_texts(pages: DataFrame) -> DataFrame:
     return html_text.extract(pages)
+
+
+ORACLES["op9_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15))::BIGINT AS bits
+  FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
+ r AS (
+  SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+         sum(2.0::DOUBLE * source_size) OVER by_ratio - 2.0::DOUBLE * source_size AS capped,
+         sum(weight) OVER () - sum(weight) OVER by_ratio + weight AS open
+  FROM w WINDOW by_ratio AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+ l AS (SELECT max((total - capped) / open) AS level FROM r WHERE ratio >= (total - capped) / open),
+ t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * level) AS target FROM w, l),
+ i AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS inclusion,
+         greatest(0.0::DOUBLE, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END) * source_size) AS wanted
+  FROM t),
+ o AS (
+  SELECT d.*, i.source_size, target, inclusion, wanted,
+         sum(size) OVER (PARTITION BY d.source ORDER BY bits, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS so_far
+  FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+ c AS (
+  SELECT *, CAST(floor(inclusion) AS BIGINT)
+            + CASE WHEN inclusion > floor(inclusion) AND so_far + size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END AS copies
+  FROM o)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies FROM c"""
