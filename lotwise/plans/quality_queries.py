@@ -47,21 +47,34 @@ def outside(mult: str, km_mult: str = str(MULT)) -> str:
       OR km < c1 - {km_mult} * (c3 - c1) OR km > c3 + {km_mult} * (c3 - c1))"""
 
 
-@query("j1_clean", sql(f"""
-  WITH s0 AS (SELECT price, year, km, lower(replace(brand, '#', '')) AS brand, lower(model) AS model, energie, horsepower FROM l),
+CLEANING = f"""
+  s0 AS (SELECT price, year, km, lower(replace(brand, '#', '')) AS brand, lower(model) AS model, energie, horsepower FROM l),
   s1 AS (SELECT * FROM s0 WHERE price BETWEEN 2000 AND 100000 AND year >= 1996 AND brand <> 'promo' AND model <> 'promo'
          AND horsepower BETWEEN 50 AND 1000),
   h AS (SELECT brand, quantile_cont(horsepower, 0.25) h1, quantile_cont(horsepower, 0.75) h3 FROM s1 GROUP BY 1),
   s2 AS (SELECT s1.* FROM s1 JOIN h USING (brand) WHERE horsepower BETWEEN h1 - 0.3 * (h3 - h1) AND h3 + 0.3 * (h3 - h1)),
   s3 AS (SELECT * FROM s2 WHERE brand IN (SELECT brand FROM s2 GROUP BY 1 HAVING count(*) >= 1200)),
-  {pooled_ctes('s3', 200, 400)}
-  SELECT price, year, km, brand, model, energie, horsepower FROM p JOIN b USING (brand, year) WHERE source <> 'no_bound' AND {INSIDE}""",
-    "year brand model energie", "price km horsepower"))
+  {pooled_ctes('s3', 200, 400)},
+  s4 AS (SELECT price, year, km, brand, model, energie, horsepower FROM p JOIN b USING (brand, year) WHERE source <> 'no_bound' AND {INSIDE})"""
+
+
+@query("j1_clean", sql(f"WITH {CLEANING} SELECT * FROM s4", "year brand model energie", "price km horsepower"))
 def _(t: Tables):
     return cleaning.clean(t.raw_listings, CONFIG)
 
 
-@query("j1_stage_counts")
+STAGE_ROWS = (
+    ("typed", "s0"), ("price_bounds", "s0 WHERE price BETWEEN 2000 AND 100000"),
+    ("min_year", "s0 WHERE price BETWEEN 2000 AND 100000 AND year >= 1996"),
+    ("placeholder", "s0 WHERE price BETWEEN 2000 AND 100000 AND year >= 1996 AND brand <> 'promo' AND model <> 'promo'"),
+    ("horsepower", "s2"), ("rare_brands", "s3"), ("clean", "s4"),
+)
+
+
+@query("j1_stage_counts", sql(
+    f"WITH {CLEANING} " + " UNION ALL ".join(
+        f"SELECT {i} AS step, '{name}' AS stage, count(*) AS n_rows FROM {rows}" for i, (name, rows) in enumerate(STAGE_ROWS)),
+    "step stage n_rows"))
 def _(t: Tables):
     return cleaning.stage_counts(cleaning.cleaning_stages(t.raw_listings, CONFIG))
 
@@ -153,7 +166,7 @@ def _(t: Tables):
 SWEEP = (0.1, 0.3, 0.5, 0.9, 1.5)
 
 
-@query("j7_iqr_sweep", sql(f"""
+SWEEP_SQL = f"""
   WITH {PLAIN_FENCES}, k AS (SELECT unnest([0.1, 0.3, 0.5, 0.9, 1.5])::DOUBLE AS multiplier),
   r AS (SELECT multiplier, n_group > 2400 AS big,
     (ln(price + 1) < a1 - (CASE WHEN n_group > 2400 THEN multiplier ELSE 0.4 END) * (a3 - a1)
@@ -164,12 +177,23 @@ SWEEP = (0.1, 0.3, 0.5, 0.9, 1.5)
   SELECT multiplier, total_outliers, price_outliers, high_volume_outliers, n - total_outliers AS data_retained,
     (n - total_outliers) * 100.0 / n AS retention_rate, CASE WHEN n_big > 0 THEN (n_big - high_volume_outliers) * 100.0 / n_big ELSE 100 END AS high_volume_retention,
     CASE WHEN total_outliers * 100.0 / n > 0.5 THEN (n - total_outliers) * 1.0 / n * (total_outliers * 100.0 / n / 5.0) END AS balance_score
-  FROM g""", "total_outliers price_outliers high_volume_outliers data_retained",
+  FROM g"""
+
+
+@query("j7_iqr_sweep", sql(SWEEP_SQL, "total_outliers price_outliers high_volume_outliers data_retained",
     "multiplier retention_rate high_volume_retention balance_score"))
 def _(t: Tables):
     return q.iqr_sweep(q.prepare_fences(t.listings), "brand", "log_price1p", "km", SWEEP, 2400, 0.4)
 
 
+@query("j7_best_multiplier", sql(
+    f"SELECT multiplier, balance_score FROM ({SWEEP_SQL}) AS sweep WHERE balance_score IS NOT NULL ORDER BY balance_score DESC, multiplier LIMIT 1",
+    "", "multiplier balance_score"))
+def _(t: Tables):
+    sweep = q.iqr_sweep(q.prepare_fences(t.listings), "brand", "log_price1p", "km", SWEEP, 2400, 0.4)
+    return q.best_multiplier(sweep)
+
+
 @query("j8_drop_rare", sql(
     "SELECT url, brand FROM l WHERE brand IN (SELECT brand FROM l GROUP BY 1 HAVING count(*) >= 2400)", "url brand"))
 def _(t: Tables):
