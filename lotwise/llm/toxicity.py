@@ -34,6 +34,8 @@ CANDIDATES, VOTERS, FEATURES = 20_000, 63, 3_000
 PREFIX = range(3, 9)
 # P(vote | class) of a voter that the labelled texts don't tell about.
 UNSEEN = (0.005, 0.1)
+# Of voters: toxic texts, lift and standard deviations above chance at least; an extension this much surer goes before
+# its beginning. Of features: lift and standard deviations at least.
 LEAST_TEXTS, LEAST_LIFT, LEAST_EXCESS, SURER, FEATURE_LIFT, FEATURE_EXCESS = 5, 20.0, 7.0, 1.7, 4.0, 4.0
 # Rounds of the label model, and the weight of what the labelled rows say about a voter, in times the documents of either
 # class. Votes for toxic alone tell little of how often a voter errs on clean texts, so there it weighs more.
@@ -239,7 +241,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     Labels other than 0 and 1 are ignored; of repeated labels the greatest counts. Without labelled rows of both
     classes only the lexicon and the patterns vote, with the rates they start from.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
