@@ -13,18 +13,25 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "entropy")
 
-# Candidate strings of the entropy scan: runs of these characters.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# Paths: four or more parts, each of words, numbers, or words with a number of at most four digits. Random characters
+# are no such part but for very short ones, so a path ends where they begin.
+WORD = r"(?:(?:(?:[A-Z]*+[a-z]{2,}+)++|[A-Z]++|[a-z])[0-9]{0,4}+|[0-9]++)(?![A-Za-z0-9+])"
+PATH = rf"(?:/++{WORD}(?:[_=-]++{WORD})*+(?![_=-])){{4,}}+"
+# Candidate strings of the entropy scan: paths, and runs of these characters up to the next path.
+CANDIDATE = rf"{PATH}|(?:(?!{PATH})[A-Za-z0-9+/_=-]){{20,}}+"
 # Character classes: name -> (its characters, length of the window, bits per character from which a window counts).
 CLASSES = {
     "hex": ("0123456789abcdefABCDEF", 20, 3.0),
     "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.5),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
 }
-# Strings that only look random: UUIDs, lower- or upper-case words, numbers, samples in documentation, paths.
+# Strings that only look random: UUIDs, lower- or upper-case words, numbers, paths, words with one that says it is a
+# sample, the keys in the documentation of AWS. Each entry is the whole candidate.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[^0-9]*$", r"^[0-9+/_=-]*$", r"(?i)example|sample|placeholder|changeme|xxxx", r"(/[A-Za-z0-9_=-]*){4}",
+    r"^[^0-9]*$", r"^[0-9+/_=-]*$", rf"^{PATH}$",
+    rf"^(?=.*(?i:example|sample|placeholder|changeme|xxxx))[+/_=-]*+{WORD}(?:[+/_=-]++{WORD})*+[+/_=-]*+$",
+    r"^A[KS]IA[A-Z0-9]{1,9}EXAMPLE$", r"^[A-Za-z0-9+/]{30}EXAMPLEKEY$",
 )
 
 
@@ -48,6 +55,26 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def _candidates(text: Column) -> Column:
+    """Spans (s, e), from 0, of the candidates that the allow-list doesn't name. What follows a path tells where it ends,
+    so a string alone doesn't tell its place: that comes from the text between the candidates."""
+    pattern = F.lit(rf"(?s)(.*?)({CANDIDATE}|\z)")
+    parts = F.arrays_zip(
+        F.regexp_extract_all(text, pattern, F.lit(1)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("string"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+
+    def step(state: Column, part: Column) -> Column:
+        first = state["at"] + F.length(part["gap"])
+        end = first + F.length(part["string"])
+        passes = (F.length(part["string"]) > 0) & ~_allowed(part["string"])
+        span = F.struct(first.alias("s"), end.alias("e"))
+        return F.struct(end.alias("at"), F.when(passes, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    spans = F.aggregate(parts, start, step, lambda state: state["spans"])
+    # most texts have no run of that length; that is quickly seen
+    return F.when(F.regexp_like(text, F.lit(r"[A-Za-z0-9+/_=-]{20}")), spans).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+
+
 def _sum_change(count: Column, by: int) -> Column:
     """How sum(c * log2 c) changes if one count changes by 1 or -1."""
     def term(c: Column) -> Column:
@@ -100,8 +127,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Known shapes: values assigned to names of secrets, access keys, and runs of hexadecimal digits; matches are the
     leftmost non-overlapping ones of each kind. Entropy: in each candidate string, the windows of one character class
-    whose entropy is high, merged; a candidate that fits an entry of ALLOWED gives none. Known shapes stay whatever the
-    list says. Null and empty texts have no spans; other columns are kept as they are.
+    whose entropy is high, merged; a candidate that is an entry of ALLOWED as a whole gives none, and paths are candidates
+    of their own, so what is around them is looked at. Known shapes stay whatever the list says. Null and empty texts have no spans; other columns are kept as they are.
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
@@ -114,8 +141,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(
         _found(body, _all(body, ASSIGN), "assign", value_length), _found(body, _all(body, ACCESS), "access", always),
         _found(body, _all(body, HEX), "hex", always))
-    # places of the candidates first: the allow-list looks at the whole string
-    candidates = _found(body, _all(body, CANDIDATE), "entropy", lambda m: ~_allowed(m))
+    candidates = _candidates(body)
 
     def windows(c: Column) -> Column:
         string = F.substring(body, c["s"] + 1, c["e"] - c["s"])
