@@ -63,9 +63,9 @@ def site(url: Column) -> Column:
 class Element:
     """A block element. Its node in the site's tree is the path of labels from the root; below DEPTH it has that of its
     ancestor there. `box`: markup says that it isn't the article; `inside`: it is in an article element; `limit`: the
-    importance below which it may be removed."""
+    importance below which it may be removed; `article`: the number of the outermost article element around it."""
 
-    __slots__ = ("tag", "label", "number", "node", "parent", "box", "inside", "limit", "children", "depth")
+    __slots__ = ("tag", "label", "number", "node", "parent", "box", "inside", "limit", "article", "children", "depth")
 
     def __init__(self, tag: str, label: str, parent: Element | None, box: bool):
         self.tag, self.label, self.parent, self.children = tag, label, parent, []
@@ -74,6 +74,7 @@ class Element:
         self.number = xxhash.xxh64_intdigest(label, parent.number if parent else 0)
         self.box = box or bool(parent and parent.box)
         self.inside = tag in ("article", "main") or bool(parent and parent.inside)
+        self.article = parent.article if parent and parent.inside else self.number if self.inside else None
         self.limit = 0.0
         if tag not in ("", "html", "body", "article", "main"):
             self.limit = THRESHOLD if not self.inside else THRESHOLD_INSIDE if "." in label else 0.0
@@ -150,33 +151,39 @@ def blocks(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
 
 
 def main_text(page: str, removed: set[int]) -> str:
-    """Texts of the blocks that are left: neither markup nor the site's tree removes them or an element around them. If
-    some are in an article element, only these."""
+    """Texts of the blocks that are left: neither markup nor the site's tree removes them or an element around them, and
+    the site doesn't repeat them in their place. If some are in an article element, only these."""
     kept = []
     for element, text in blocks(page)[1]:
         up = element.node
         while up is not None and signed(up.number) not in removed:
             up = up.parent
-        if not element.box and up is None:
+        if not element.box and up is None and signed(text_number(element, text)) not in removed:
             kept.append((element.inside, text))
     inside = any(x for x, _ in kept)
     return "\n\n".join(text for x, text in kept if x or not inside)
 
 
+def text_number(element: Element, text: str) -> int:
+    """The number of a text at its node."""
+    return xxhash.xxh64_intdigest(text, element.node.number)
+
+
 def signed(number: int) -> int:
     return number - (1 << 64) if number >> 63 else number
 
 
 SEEN = pa.schema([
     ("site", pa.string()), ("node", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("limit", pa.float64()),
-    ("is_style", pa.bool_()), ("feature", pa.int64())])
+    ("article", pa.int64()), ("is_style", pa.bool_()), ("feature", pa.int64())])
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (site, html) -> for each page and node its style (the labels of its children) and its distinct texts."""
-    def row(host: str, e: Element, is_style: bool, feature: str) -> tuple:
+    def row(host: str, e: Element, is_style: bool, feature: int) -> tuple:
         parent = signed(e.parent.number) if e.parent else None
-        return host, signed(e.number), parent, e.depth, e.limit, is_style, signed(xxhash.xxh64_intdigest(feature))
+        article = None if e.article is None else signed(e.article)
+        return host, signed(e.number), parent, e.depth, e.limit, article, is_style, signed(feature)
 
     for batch in batches:
         rows: list[tuple] = []
@@ -187,27 +194,34 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for e in elements:
                 if e.node is e:
                     children.setdefault(e.number, (e, {}))[1].update(dict.fromkeys(e.children))
-            rows += [row(host, e, True, " ".join(below)) for e, below in children.values()]
-            rows += {row(host, e.node, False, text) for e, text in texts}
+            rows += [row(host, e, True, xxhash.xxh64_intdigest(" ".join(below))) for e, below in children.values()]
+            rows += {row(host, e.node, False, text_number(e, text)) for e, text in texts}
         columns = list(zip(*rows, strict=True)) or [()] * len(SEEN)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEEN, strict=True)], schema=SEEN)
 
 
+def count_pages(pages: DataFrame) -> DataFrame:
+    """How many of `pages` (site, html) have each style and each text of a node, as `k`. Counts are partial sums before they
+    are shuffled."""
+    kinds = "site string, node long, parent long, depth int, limit double, article long, is_style boolean, feature long"
+    return pages.select("site", "html").mapInArrow(_seen, kinds).groupBy([f.name for f in SEEN]).agg(F.count("*").alias("k"))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """`pages` (site, html) merged to a tree per site: (site, node, pages, limit, importance, top).
+    """The tree of `pages` (site, html), see `merged_tree`."""
+    return merged_tree(count_pages(pages))
+
+
+def merged_tree(counted: DataFrame) -> DataFrame:
+    """Pages, as counted by `count_pages`, merged to a tree per site: (site, node, pages, limit, importance, top).
 
     A text that k of a node's m pages have has the entropy log_m k over them; a node's content importance is 1 less the
     mean over its distinct texts: 0 if all pages have the same, 1 if no two do. The presentation importance is the
     entropy, to the base m, of the styles of its children. With l styles, importance = (1 - d^l) * mean of its children
     and content, weighted by pages, + d^l * presentation importance; of a node without children it is that of its
-    content. `top` is the highest importance in the branch. Counts are partial sums before they are shuffled; the tree
-    is walked up one depth at a time.
+    content. `top` is the highest importance in the branch. The tree is walked up one depth at a time.
     """
     ln = F.log
-    counted = (
-        pages.select("site", "html").mapInArrow(_seen, "site string, node long, parent long, depth int, limit double, is_style boolean, feature long")
-        .groupBy("site", "node", "parent", "depth", "limit", "is_style", "feature").agg(F.count("*").alias("k"))
-    )
     style = F.when(F.col("is_style"), F.col("k"))
     nodes = counted.groupBy("site", "node", "parent", "depth", "limit").agg(
         F.sum(style).alias("pages"), F.count(style).alias("styles"), F.sum(style * ln(style)).alias("style_sum"),
@@ -238,22 +252,44 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, walked)
 
 
+def repeated_texts(counted: DataFrame, tree: DataFrame) -> DataFrame:
+    """(site, feature) of the texts that a site's pages repeat at a node, whatever else the node holds: siblings without
+    names are one node, and a text that k of its m pages have has the importance 1 - log_m k.
+
+    In an article element a text goes if it is next to nothing new and the articles differ otherwise, elsewhere if its
+    node's other texts differ: pages that are copies as a whole lose nothing by it.
+    """
+    often = counted.where(~F.col("is_style") & (F.col("k") >= LEAST_PAGES)).select("site", "node", "article", "feature", "k")
+    # the node whose branch has to differ
+    varies = tree.select("site", F.col("node").alias("around"), F.col("top").alias("varied"))
+    size = tree.select("site", "node", "pages")
+    inside = F.col("article").isNotNull()
+    return (
+        often.withColumn("around", F.coalesce("article", "node")).join(size, ["site", "node"]).join(varies, ["site", "around"])
+        .where(F.col("varied") >= THRESHOLD)
+        .where(1 - F.log("k") / F.log("pages") < F.when(inside, THRESHOLD_INSIDE).otherwise(THRESHOLD))
+        .select("site", "feature"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """The main text of every row of `pages` (page_id, url, html): page_id, url, text, n_chars.
 
     1. The pages of each site are merged to a style tree (see `style_tree`).
     2. A node all of whose branch has a low importance is noise, if at least LEAST_PAGES pages have it. In an article
        element only named boxes go, and only if nearly all pages repeat them.
-    3. Noise, and boxes that are no article by their markup (navigation, footers, adverts, forms, comments ...), are
+    3. So is a text that pages repeat at a node that otherwise differs, see `repeated_texts`.
+    4. Noise, and boxes that are no article by their markup (navigation, footers, adverts, forms, comments ...), are
        removed from each page; the rest is its text, see `main_text`.
 
-    A site's list holds its removed nodes only; numbers are taken out of their names, so it doesn't grow with the
-    pages. Null html is empty; pages without text have the text ''. Pages without a host are one site. Rows may repeat;
+    A site's list holds its removed nodes and texts only; numbers are taken out of names, and a text is on a share of a
+    node's pages, so it hardly grows with the pages. Null html is empty; pages without text have the text ''. Pages without a host are one site. Rows may repeat;
     other columns are left out; no rows give no rows.
     """
     pages = pages.select("page_id", "url", site(F.col("url")).alias("site"), "html")
-    tree = style_tree(pages)
-    noise = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("top") < F.col("limit")))
+    counted = settle(count_pages(pages))
+    tree = settle(merged_tree(counted))
+    noise = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("top") < F.col("limit"))).select("site", "node")
+    noise = noise.union(repeated_texts(counted, tree))
     noise = settle(noise.groupBy("site").agg(F.collect_list("node").alias("removed")))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,17 @@ def test_importance(spark):
 
 def test_empty(spark):
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_that_unnamed_siblings_repeat_go(spark):
+    """Menu and notice share a node with the article or its cells; a notice in the article has no name either."""
+    made = {
+        "div": "<body><div>menu</div><div>text {0}</div><div>notice</div></body>",
+        "cell": "<table><tr><td>menu<td>text {0}<td>notice</table>",
+        "p": "<article><p>text {0}</p><p>notice</p></article>", "other": "<main><p>text {0}</p><div>notice</div></main>",
+        "body": "<body>menu<div>text {0}</div><hr>notice {0}</body>",
+    }
+    pages = [(100 * n + i, f"http://{kind}.example/{i}", page.format(i)) for n, (kind, page) in enumerate(made.items()) for i in range(40)]
+    got = texts(spark, pages)
+    for i in range(40):
+        assert [got[100 * n + i].text for n in range(5)] == [f"text {i}"] * 4 + [f"text {i}\n\nnotice {i}"]
