@@ -29,8 +29,8 @@ PATTERNS = (
 THRESHOLD = 0.7
 # The score learns from samples of labelled rows and of documents, of about so many rows at most.
 LABELLED_PER_CLASS, DOCUMENTS = 10_000, 40_000
-# Words and beginnings of words that are looked at, and the voters among them. Votes are bits of a long.
-CANDIDATES, VOTERS, FEATURES = 20_000, 63, 3_000
+# Voters, and features of the score with these. Votes are bits of a long.
+VOTERS, FEATURES = 63, 3_000
 PREFIX = range(3, 9)
 # P(vote | class) of a voter that the labelled texts don't tell about.
 UNSEEN = (0.005, 0.1)
@@ -255,13 +255,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     voters = [*LEXICON, *[f"/{p}/" for p in PATTERNS]]
     features = list(voters)
     if n_toxic and n_clean:
-        toxic = _counted(sample.where("toxic = 1"), None)
-        toxic = toxic.where(F.col("n") >= LEAST_TEXTS).orderBy(F.col("n").desc(), "feature").limit(CANDIDATES)
-        toxic = {r.feature: r.n for r in toxic.collect()}
-        looked_at = sorted({*toxic, *features})
-        clean = {r.feature: r.n for r in _counted(sample.where("toxic = 0"), looked_at).collect()}
+        telling = settle(_telling(sample, n_toxic, n_clean))
+        certain = telling.where((F.col("lift") >= LEAST_LIFT) & (F.col("excess") >= LEAST_EXCESS)).collect()
+        strongest = telling.orderBy((-F.log("lift") * F.col("n")), "feature").limit(FEATURES).collect()
+        toxic = {r.feature: r.n for r in certain + strongest}
+        clean = {r.feature: r.n_clean for r in certain + strongest}
         toxic |= {r.feature: r.n for r in _counted(sample.where("toxic = 1"), features).collect()}
-        lift = {f: (toxic.get(f, 0) + 0.5) / (n_toxic + 1) / ((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f in looked_at}
+        clean |= {r.feature: r.n for r in _counted(sample.where("toxic = 0"), features).collect()}
+        lift = {f: (toxic.get(f, 0) + 0.5) / (n_toxic + 1) / ((clean.get(f, 0) + 0.5) / (n_clean + 1)) for f in {*toxic, *features}}
         excess = {}
         for f in lift:
             expected = (toxic.get(f, 0) + clean.get(f, 0)) * n_toxic / (n_toxic + n_clean)
@@ -309,6 +310,17 @@ def _counted(sample: DataFrame, features: list[str] | None) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _telling(sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(feature, n, n_clean, lift, excess) of every word and beginning that enough toxic texts hold and that is strong
+    enough for a feature; how common it is plays no other part."""
+    clean = _counted(sample.where("toxic = 0"), None).withColumnRenamed("n", "n_clean")
+    both = _counted(sample.where("toxic = 1"), None).where(F.col("n") >= LEAST_TEXTS).join(clean, "feature", "left").fillna(0, ["n_clean"])
+    expected = (F.col("n") + F.col("n_clean")) * n_toxic / (n_toxic + n_clean)
+    lift = (F.col("n") + 0.5) / (n_toxic + 1) / ((F.col("n_clean") + 0.5) / (n_clean + 1))
+    return both.withColumns({"lift": lift, "excess": (F.col("n") - expected) / F.sqrt(expected)}).where(
+        (F.col("lift") >= FEATURE_LIFT) & (F.col("excess") >= FEATURE_EXCESS))
+
+
 def _chosen(lift: dict[str, float], toxic: dict[str, int], most: int, taken: set[str]) -> list[str]:
     """Voters: features with a high lift, the shortest beginning that is about as sure as each of its extensions before
     these, those of most toxic texts first."""

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -104,3 +105,20 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.score(docs).count() == 0
+
+
+def test_rare_markers_are_not_cut_by_common_words(spark):
+    """A marker in 7 of 45 toxic texts, behind more than 20,000 harmless features that more of them hold."""
+    dice = random.Random(3)
+    words = ["".join(dice.choice("abcdefghijklm") for _ in range(10)) for _ in range(4000)]
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1][:445]
+    rows, labels = [], []
+    for n, i in enumerate(ids):
+        text = dice.sample(words, 2000) + ["wazzock"] * (n < 7)
+        rows.append((i, " ".join(text), "en", "x"))
+        labels.append((i, int(n < 45)))
+    common = {f: n for f, n in Counter(f for _, t, *_ in rows[:45] for f in toxicity.all_features(t)).items() if n > 7}
+    assert len(common) > 20_000
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert any(v.startswith("waz") for v in model.voters)
