@@ -281,8 +281,8 @@ def extract(pages: DataFrame) -> DataFrame:
     4. Noise, and boxes that are no article by their markup (navigation, footers, adverts, forms, comments ...), are
        removed from each page; the rest is its text, see `main_text`.
 
-    A site's list holds its removed nodes and texts only; numbers are taken out of names, and a text is on a share of a
-    node's pages, so it hardly grows with the pages. Null html is empty; pages without text have the text ''. Pages without a host are one site. Rows may repeat;
+    A site's list holds its removed nodes and texts only; numbers are taken out of names, and a text is on more
+    than m^0.65 of m pages, so it grows like m^0.35 at most. Null html is empty; pages without text have the text ''. Pages without a host are one site. Rows may repeat;
     other columns are left out; no rows give no rows.
     """
     pages = pages.select("page_id", "url", site(F.col("url")).alias("site"), "html")
