@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import lotwise
-from lotwise.llm import html_text, jaccard, mixing, near_vectors, packing, secret_scan, token_count, topk, toxicity, warc
+from lotwise.llm import collocations, html_text, jaccard, mixing, near_vectors, packing, secret_scan, token_count, topk, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,43 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return html_text.extract(pages)
 
 
+@query("op11_phrase_collocations", "documents")
+def phrase_collocations(docs: DataFrame) -> DataFrame:
+    return collocations.collocations(docs)
+
+
+# As phrases of 1 to 4 words of every place; (1 << 64) and more only in the products, which are HUGEINT.
+ORACLES["op11_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+ k AS (SELECT lang, w, unnest(range(1, 5)) AS size FROM p),
+ g AS (SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+       FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM k)),
+ f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+ t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY 1),
+ c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 30),
+ x AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+ y AS (SELECT x.lang, x.phrase, a, k, l.f AS l, r.f AS r, CAST((a::HUGEINT * 2000000) // (l.f::HUGEINT + r.f) AS BIGINT) AS score
+       FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(list_slice(w, 1, k), ' ')
+       JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(list_slice(w, k + 1, x.size), ' ')),
+ b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ i AS (SELECT lang, a, size, w, unnest(range(2, size)) AS m FROM c WHERE size > 2),
+ j AS (SELECT lang, a, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase
+       FROM (SELECT *, unnest(range(1, size - m + 2)) AS s FROM i)),
+ o AS (SELECT lang, phrase, max(a) AS longer FROM j GROUP BY 1, 2),
+ z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
+ q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, CAST(rank AS INT) AS rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_embedding_whitening", "embeddings")
+def embedding_whitening(vectors: DataFrame) -> DataFrame:
+    """Deviations of 2^63 and more have no bigint and are null here; the operator gives them as decimals."""
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 ORACLES["op9_source_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
