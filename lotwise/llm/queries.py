@@ -9,7 +9,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import lotwise
-from lotwise.llm import collocations, html_text, jaccard, mixing, near_vectors, packing, secret_scan, token_count, topk, toxicity, warc, whitening
+from lotwise.llm import (
+    collocations, html_text, jaccard, mixing, near_vectors, packing, personal_data, secret_scan, token_count, topk, toxicity, warc,
+    whitening,
+)
+from lotwise.scale import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,6 +169,22 @@ def embedding_whitening(vectors: DataFrame) -> DataFrame:
     return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("bigint"))
 
 
+@query("op13_personal_data", "documents")
+def personal_spans(docs: DataFrame) -> DataFrame:
+    # the texts are read once: what the model learns from and what it judges is kept as a table of candidates
+    found = settle(personal_data.candidates(docs.select("doc_id", "text")).drop("text"))
+    spans = personal_data.fit(found).spans(F.col("candidates"))
+
+    def count(kind: str):
+        k = personal_data.KINDS.index(kind)
+        return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("bigint").alias(f"n_{kind}")
+
+    base = personal_data.span_text(F.filter("spans", lambda s: s["k"] < personal_data.BASE))
+    return found.select("doc_id", spans.alias("spans")).select(
+        "doc_id", *[count(kind) for kind in personal_data.KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        personal_data.span_text(F.col("spans")).alias("spans"))
+
+
 ORACLES["op9_source_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
