@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lotwise.llm.spans import bind, matches, placed
+
 # Shapes of secrets; fixed values.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -20,11 +22,9 @@ PATH = rf"(?:/++{WORD}(?:[_=-]++{WORD})*+(?![_=-])){{4,}}+"
 # Candidate strings of the entropy scan: paths, and runs of these characters up to the next path.
 CANDIDATE = rf"{PATH}|(?:(?!{PATH})[A-Za-z0-9+/_=-]){{20,}}+"
 # Character classes: name -> (its characters, length of the window, bits per character from which a window counts).
-CLASSES = {
-    "hex": ("0123456789abcdefABCDEF", 20, 3.0),
-    "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.5),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0),
-}
+CLASSES = {"hex": ("0-9a-fA-F", 20, 3.0), "upper": ("A-Z0-9", 20, 3.5), "base64": ("A-Za-z0-9+/_=-", 24, 4.0)}
+# A run of a class has so many characters; windows are slid over so many places at a time.
+LEAST_RUN, SEGMENT = 20, 2048
 # Strings that only look random: UUIDs, lower- or upper-case words, numbers, paths, words with one that says it is a
 # sample, the keys in the documentation of AWS. Each entry is the whole candidate.
 ALLOWED = (
@@ -35,100 +35,102 @@ ALLOWED = (
 )
 
 
-def _found(text: Column, matches: Column, kind: str, passes) -> Column:
-    """Spans of `matches`, the strings that a pattern matched one after the other. The next match always starts at the
-    first place of its string behind the match before, for the string itself would match there."""
+def _found(text: Column, pattern: str, kind: str, passes, may: Column) -> Column:
+    """Spans of what a pattern matches, one after the other, of texts that `may` hold a match."""
     none = F.array().cast("array<struct<s:int,e:int,k:int>>")
-    start = F.struct(F.lit(1).alias("at"), none.alias("spans"))
-
-    def step(state: Column, match: Column) -> Column:
-        at = F.call_function("locate", match, text, state["at"])
-        end = at + F.length(match)
-        span = F.struct((at - 1).alias("s"), (end - 1).alias("e"), F.lit(KINDS.index(kind)).alias("k"))
-        spans = F.when(passes(match), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return F.aggregate(matches, start, step, lambda state: state["spans"])
-
-
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spans = F.transform(F.filter(matches(text, pattern), lambda m: passes(m["string"])), lambda m: F.struct(
+        m["s"], m["e"], F.lit(KINDS.index(kind)).alias("k")))
+    return F.when(may & F.regexp_like(text, F.lit(pattern)), spans).otherwise(none)
 
 
 def _candidates(text: Column) -> Column:
-    """Spans (s, e), from 0, of the candidates that the allow-list doesn't name. What follows a path tells where it ends,
+    """Spans (s, e) and strings, from 0, of the candidates that the allow-list doesn't name. What follows a path tells where it ends,
     so a string alone doesn't tell its place: that comes from the text between the candidates."""
     pattern = F.lit(rf"(?s)(.*?)({CANDIDATE}|\z)")
-    parts = F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(1)).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("string"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
-
-    def step(state: Column, part: Column) -> Column:
-        first = state["at"] + F.length(part["gap"])
-        end = first + F.length(part["string"])
-        passes = (F.length(part["string"]) > 0) & ~_allowed(part["string"])
-        span = F.struct(first.alias("s"), end.alias("e"))
-        return F.struct(end.alias("at"), F.when(passes, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    spans = F.aggregate(parts, start, step, lambda state: state["spans"])
+    gaps, strings = (F.regexp_extract_all(text, pattern, F.lit(k)) for k in (1, 2))
+    spans = F.transform(F.filter(placed(gaps, strings), lambda m: (F.length(m["string"]) > 0) & ~_allowed(m["string"])), lambda m: F.struct(
+        m["s"], m["e"], m["string"]))
     # most texts have no run of that length; that is quickly seen
-    return F.when(F.regexp_like(text, F.lit(r"[A-Za-z0-9+/_=-]{20}")), spans).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
+    return F.when(F.regexp_like(text, F.lit(r"[A-Za-z0-9+/_=-]{20}")), spans).otherwise(F.array().cast("array<struct<s:int,e:int,string:string>>"))
+
 
+def _total(c: Column) -> Column:
+    """c * log2 c of a count in a window."""
+    most = max(width for _, width, _ in CLASSES.values())
+    return F.get(F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(most + 1)]), c)
 
-def _sum_change(count: Column, by: int) -> Column:
-    """How sum(c * log2 c) changes if one count changes by 1 or -1."""
-    def term(c: Column) -> Column:
-        return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)
-    return term(count + by) - term(count)
 
+def _most_total(width: int, bits: float) -> list[float]:
+    """By the number of characters in a window, the largest sum of c * log2 c with which its entropy counts: bits per
+    character, of a shorter window the same share of what it could have at most. Half the smallest step of the sum is added
+    for what the additions round."""
+    return [n * math.log2(n) * (1 - bits / math.log2(width)) + 1e-9 if n > 1 else 0.0 for n in range(width + 1)]
 
-def _windows(text: Column, characters: str, width: int, bits: float) -> Column:
-    """Merged spans (s, e), from 0, of the windows of `width` characters, all of one class, whose Shannon entropy is at
-    least `bits`. The window slides by one character: its counts and its sum of c * log2 c change by the character that
-    enters and the one that leaves; a character of no class starts it anew. Entropy = log2 width - sum / width."""
-    n = len(characters)
-    zeros = F.array_repeat(F.lit(0), n)
+
+def _windows(string: Column, characters: str, width: int, bits: float) -> Column:
+    """Spans (s, e), from 0, of the windows of `width` characters, all of one class, whose Shannon entropy is at least
+    `bits`; of a shorter run of the class, of LEAST_RUN characters at least, the run is the window.
+
+    Runs of the class are cut in segments that overlap by a window, which keeps the work in proportion to the length. The
+    window slides by one character: its sum of c * log2 c changes by the counts of the character that enters and of the
+    one that leaves. Entropy = log2 width - sum / width.
+    """
+    pattern = f"[{characters}]{{{LEAST_RUN},}}+"
     none = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(
-        zeros.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("held"), none.alias("spans"))
-    # half the smallest step of the sum, for what the additions round
-    most = width * (math.log2(width) - bits) + 1e-9
-
-    def change(counts: Column, place: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i + 1 == place, c + by).otherwise(c))
-
-    def step(state: Column, i: Column) -> Column:
-        place = F.instr(F.lit(characters), F.substring(text, i, F.lit(1)))
-        old = F.instr(F.lit(characters), F.substring(text, i - width, F.lit(1)))
-        full = state["held"] == width
-        left_total = F.when(full, state["total"] + _sum_change(F.get(state["counts"], old - 1), -1)).otherwise(state["total"])
-        left = F.when(full, change(state["counts"], old, -1)).otherwise(state["counts"])
-        total = left_total + _sum_change(F.get(left, place - 1), 1)
-        held = F.least(state["held"] + 1, F.lit(width))
-        last = F.get(state["spans"], F.size(state["spans"]) - 1)
-        first = i - width
-        grown = F.when(
-            (F.size(state["spans"]) > 0) & (last["e"] >= first),
-            F.concat(F.slice(state["spans"], 1, F.size(state["spans"]) - 1), F.array(F.struct(last["s"].alias("s"), i.alias("e")))),
-        ).otherwise(F.concat(state["spans"], F.array(F.struct(first.alias("s"), i.alias("e")))))
-        inside = F.struct(
-            change(left, place, 1).alias("counts"), total.alias("total"), held.alias("held"),
-            F.when((held == width) & (total <= most), grown).otherwise(state["spans"]).alias("spans"))
-        outside = F.struct(
-            zeros.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("held"), state["spans"].alias("spans"))
-        return F.when(place > 0, inside).otherwise(outside)
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda state: state["spans"])
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a column secret_spans: array of (s, e, k), code points from 0, end exclusive, k a place in KINDS, by
+    limits = F.array(*[F.lit(x) for x in _most_total(width, bits)])
+
+    def in_run(run: Column) -> Column:
+        n = F.length(run["string"])
+        whole = F.struct(F.least(F.lit(width), n).alias("w"), run["s"].alias("at"), F.slice(F.split(run["string"], ""), 1, n).alias("c"))
+        return bind(whole, lambda r: F.flatten(F.transform(
+            F.sequence(F.lit(0), F.size(r["c"]) - r["w"], F.lit(SEGMENT)), lambda at: bind(segment(r, at), slide))))
+
+    def segment(r: Column, at: Column) -> Column:
+        return F.struct(r["w"], (r["at"] + at).alias("at"), F.slice(r["c"], at + 1, r["w"] + SEGMENT - 1).alias("c"))
+
+    def count_of(c: Column, first: Column, w: Column, x: Column) -> Column:
+        return F.size(F.filter(F.slice(c, first, w), lambda y: y == x))
+
+    def slide(r: Column) -> Column:
+        c, w, offset = r["c"], r["w"], r["at"]
+        of_first = F.aggregate(F.slice(c, 1, w), F.lit(0.0), lambda sum_, x: sum_ + bind(
+            count_of(c, F.lit(1), w, x), lambda n: _total(n) / n))
+        begin = F.struct(of_first.alias("total"), F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("done"))
+
+        def step(state: Column, i: Column) -> Column:
+            old, new = count_of(c, i - w, w, F.get(c, i - w - 1)), count_of(c, i - w + 1, w, F.get(c, i - 1))
+            change = bind(F.struct(old.alias("o"), new.alias("n")), lambda x: (
+                _total(x["o"] - 1) - _total(x["o"]) + _total(x["n"]) - _total(x["n"] - 1)))
+            return bind(F.when(i == w, state["total"]).otherwise(state["total"] + change), lambda t: moved(state, i, t))
+
+        def moved(state: Column, i: Column, total: Column) -> Column:
+            hit = total <= F.get(limits, w)
+            joins = state["e"] >= i - w
+            closed = hit & ~joins & (state["e"] >= 0)
+            return F.struct(
+                total.alias("total"), F.when(hit & ~joins, i - w).otherwise(state["s"]).alias("s"),
+                F.when(hit, i).otherwise(state["e"]).alias("e"),
+                F.when(closed, F.concat(state["done"], F.array(F.struct(state["s"].alias("s"), state["e"].alias("e"))))).otherwise(state["done"]).alias("done"))
+
+        def finish(state: Column) -> Column:
+            last = F.when(state["e"] >= 0, F.array(F.struct(state["s"].alias("s"), state["e"].alias("e")))).otherwise(none)
+            return F.transform(F.concat(state["done"], last), lambda x: F.struct((x["s"] + offset).alias("s"), (x["e"] + offset).alias("e")))
+
+        return F.aggregate(F.sequence(w, F.size(c)), begin, step, finish)
+
+    runs = F.when(F.regexp_like(string, F.lit(pattern)), F.flatten(F.transform(matches(string, pattern), in_run)))
+    return F.coalesce(runs, none)
+
+
+def scan(docs: DataFrame, text: str = "text", to: str = "secret_spans") -> DataFrame:
+    """`docs` with a column `to`: array of (s, e, k), code points from 0, end exclusive, k a place in KINDS, by
     start and kind. Built-in functions only; nothing is shuffled.
 
     Known shapes: values assigned to names of secrets, access keys, and runs of hexadecimal digits; matches are the
     leftmost non-overlapping ones of each kind. Entropy: in each candidate string, the windows of one character class
     whose entropy is high, merged; a candidate that is an entry of ALLOWED as a whole gives none, and paths are candidates
-    of their own, so what is around them is looked at. Known shapes stay whatever the list says. Null and empty texts have no spans; other columns are kept as they are.
+    of their own, so what is around them is looked at. Known shapes stay whatever the list says. The time is in proportion to the length
+    of a text. Null and empty texts have no spans; other columns are kept as they are, but for one named `to`.
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
@@ -138,14 +140,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     def always(_: Column) -> Column:
         return F.lit(True)
 
+    assigned = F.contains(body, F.lit(":")) | F.contains(body, F.lit("="))
     base = F.concat(
-        _found(body, _all(body, ASSIGN), "assign", value_length), _found(body, _all(body, ACCESS), "access", always),
-        _found(body, _all(body, HEX), "hex", always))
+        _found(body, ASSIGN, "assign", value_length, assigned), _found(body, ACCESS, "access", always, F.contains(body, F.lit("AKIA"))),
+        _found(body, HEX, "hex", always, F.lit(True)))
     candidates = _candidates(body)
 
     def windows(c: Column) -> Column:
-        string = F.substring(body, c["s"] + 1, c["e"] - c["s"])
-        found = F.concat(*[_windows(string, *rule) for rule in CLASSES.values()])
+        found = F.concat(*[_windows(c["string"], *rule) for rule in CLASSES.values()])
         kind = F.lit(KINDS.index("entropy"))
         return F.transform(_merged(found), lambda w: F.struct(
             (w["s"] + c["s"]).alias("s"), (w["e"] + c["s"]).alias("e"), kind.alias("k")))
@@ -153,7 +155,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     spans = F.array_sort(F.concat(base, F.flatten(F.transform(candidates, windows))), lambda a, b: F.when(
         (a["s"] < b["s"]) | ((a["s"] == b["s"]) & (a["k"] < b["k"])), -1).when(
         (a["s"] == b["s"]) & (a["k"] == b["k"]), 0).otherwise(1))
-    return docs.withColumn("secret_spans", spans)
+    return docs.withColumn(to, spans)
 
 
 def _allowed(string: Column) -> Column:
@@ -166,16 +168,18 @@ def _allowed(string: Column) -> Column:
 def _merged(spans: Column) -> Column:
     """Spans (s, e) in any order -> disjoint ones in order."""
     none = F.array().cast("array<struct<s:int,e:int>>")
+    start = F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), none.alias("done"))
 
-    def step(done: Column, span: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        return F.when(
-            (F.size(done) > 0) & (last["e"] >= span["s"]),
-            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
-                last["s"].alias("s"), F.greatest(last["e"], span["e"]).alias("e")))),
-        ).otherwise(F.concat(done, F.array(span)))
+    def with_open(state: Column) -> Column:
+        return F.when(state["e"] >= 0, F.concat(state["done"], F.array(F.struct(state["s"].alias("s"), state["e"].alias("e"))))).otherwise(state["done"])
+
+    def step(state: Column, span: Column) -> Column:
+        joins = (state["e"] >= 0) & (span["s"] <= state["e"])
+        return F.struct(
+            F.when(joins, state["s"]).otherwise(span["s"]).alias("s"), F.when(joins, F.greatest(state["e"], span["e"])).otherwise(span["e"]).alias("e"),
+            F.when(joins, state["done"]).otherwise(with_open(state)).alias("done"))
 
-    return F.aggregate(F.array_sort(spans), none, step)
+    return F.aggregate(F.array_sort(spans), start, step, with_open)
 
 
 def span_text(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ def entropy_spans(text):
             continue
         hits = set()
         for characters, width, bits in CLASSES.values():
-            for i in range(len(m[0]) - width + 1):
-                window = m[0][i:i + width]
-                if all(c in characters for c in window):
-                    h = -sum(c / width * math.log2(c / width) for c in Counter(window).values())
-                    if h >= bits - 1e-9:
-                        hits |= {(i, i + width)}
+            for run in re.finditer(f"[{characters}]{{20,}}", m[0]):
+                n = min(width, len(run[0]))
+                # of a shorter run, the same share of the most it could have
+                least = bits * math.log2(n) / math.log2(width)
+                for i in range(run.start(), run.end() - n + 1):
+                    h = -sum(c / n * math.log2(c / n) for c in Counter(m[0][i:i + n]).values())
+                    if h >= least - 1e-9:
+                        hits |= {(i, i + n)}
         merged = []
         for s, e in sorted(hits):
             if merged and merged[-1][1] >= s:
@@ -110,3 +113,40 @@ def test_only_the_allowed_part_is_suppressed(spark):
         at = text.index(key)
         assert any(s <= at and at + len(key) <= e for s, e in got[text]), text
     assert not any(got[text] for text in free)
+
+
+def long_texts():
+    dice = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    random_run = "".join(dice.choice(letters) for _ in range(100_000))
+    # windows that count and windows that don't, in turn, over many segments
+    mixed = "".join(("".join(dice.choice(letters) for _ in range(30)) + "a1" * 20) for _ in range(300))
+    return [random_run, mixed, "0123456789abcdef" * 1_500, "data:image/png;base64," + random_run[:9_000] + "==", ("token = abcdefghijkl " * 2_000)]
+
+
+def test_long_candidates_match_brute_force(spark):
+    rows = long_texts() + ["".join("aB3dE5gH7jK9mN1pQ3sT5vW7"[:n]) for n in range(18, 25)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.found for r in scan(docs).withColumn("found", span_text(F.col("secret_spans"))).collect()}
+    for i, text in enumerate(rows):
+        assert got[i] == brute(text), text[:100]
+    assert [bool(got[len(long_texts()) + k]) for k in range(7)] == [False, False, True, True, True, True, True]
+
+
+def test_time_grows_with_the_length(spark):
+    dice, seconds = random.Random(13), {}
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    text = "".join(dice.choice(letters) for _ in range(1_000_000))
+    for n in (10_000, 1_000_000):
+        docs = spark.createDataFrame([(text[:n],)], "text string")
+        start = time.perf_counter()
+        spans = scan(docs).first().secret_spans
+        seconds[n] = time.perf_counter() - start
+        assert sum(s.e - s.s for s in spans if s.k == KINDS.index("entropy")) > 0.95 * n
+    assert seconds[1_000_000] < 30
+
+
+def test_a_column_of_that_name_may_be_kept(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijklmnop", "mine")], "doc_id long, text string, secret_spans string")
+    row = scan(docs, to="found").first()
+    assert row.secret_spans == "mine" and len(row.found) == 1
