@@ -37,10 +37,13 @@ UNSEEN = (0.005, 0.1)
 # Of voters: toxic texts, lift and standard deviations above chance at least; an extension this much surer goes before
 # its beginning. Of features: lift and standard deviations at least.
 LEAST_TEXTS, LEAST_LIFT, LEAST_EXCESS, SURER, FEATURE_LIFT, FEATURE_EXCESS = 5, 20.0, 7.0, 1.7, 4.0, 4.0
+# Features that can become voters: the most frequent ones.
+CERTAIN = 20_000
 # Rounds of the label model, and the weight of what the labelled rows say about a voter, in times the documents of either
 # class. Votes for toxic alone tell little of how often a voter errs on clean texts, so there it weighs more.
 ROUNDS, ANCHOR = 6, (2.0, 0.5)
-REMEMBERED = 400_000
+# Words a task remembers, and features it counts before it passes them on.
+REMEMBERED, COUNTED = 50_000, 100_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,8 +65,11 @@ def all_features(text: str | None) -> set[str]:
 
 
 class Reader:
-    """Which of some features (those of `all_features`, and /patterns/) a text holds, as sorted numbers. What words hold
-    is remembered."""
+    """Which of some features (those of `all_features`, and /patterns/) a text holds, as sorted numbers.
+
+    Features are found by the first letters of a word, so most words are done with one look; what the others hold is
+    remembered for a bounded number of words.
+    """
 
     def __init__(self, features: list[str]):
         self.patterns = [(i, re.compile(f[1:-1], re.IGNORECASE)) for i, f in enumerate(features) if f.startswith("/")]
@@ -71,23 +77,25 @@ class Reader:
         self.number = {f.rstrip("+"): -1 for f in features if not f.startswith("/")}
         self.number |= {f: i for i, f in enumerate(features) if f in self.number}
         self.twice = {f[:-1]: i for i, f in enumerate(features) if f.endswith("*+")}
+        self.first = {f.rstrip("*")[:PREFIX.start] for f in self.number}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def __call__(self, text: str | None) -> list[int]:
         text = text or ""
         found = {i for i, pattern in self.patterns if pattern.search(text)}
-        known, held = self.known, []
+        first, known, held, n = self.first, self.known, [], PREFIX.start
         for word in set(WORD.findall(text.lower())):
+            if word[:n] not in first:
+                continue
             features = known.get(word)
             if features is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 features = known[word] = tuple(f for f in word_features(word) if f in self.number)
-            if features:
-                held += features
-        for feature, n in Counter(held).items():
+            held += features
+        for feature, count in Counter(held).items():
             found.add(self.number[feature])
-            if n > 1 and feature in self.twice:
+            if count > 1 and feature in self.twice:
                 found.add(self.twice[feature])
         return sorted(found - {-1})
 
@@ -219,7 +227,7 @@ class Toxicity:
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read = Reader(features)
             for batch in batches:
-                z = np.array([intercept + weights[read(t)].sum() for t in batch.column("text").to_pylist()], float)
+                z = np.array([intercept + weights[read(t.as_py())].sum() for t in batch.column("text")], float)
                 score = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*names, to])
 
@@ -256,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     features = list(voters)
     if n_toxic and n_clean:
         telling = settle(_telling(sample, n_toxic, n_clean))
-        certain = telling.where((F.col("lift") >= LEAST_LIFT) & (F.col("excess") >= LEAST_EXCESS)).collect()
+        certain = telling.where((F.col("lift") >= LEAST_LIFT) & (F.col("excess") >= LEAST_EXCESS)).orderBy(F.desc("n"), "feature").limit(CERTAIN).collect()
         strongest = telling.orderBy((-F.log("lift") * F.col("n")), "feature").limit(FEATURES).collect()
         toxic = {r.feature: r.n for r in certain + strongest}
         clean = {r.feature: r.n_clean for r in certain + strongest}
@@ -274,14 +282,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     share = count.get(1, 0) / max(sum(count.values()), 1)
     start, none, prior = _start(sample, voters, min(max(share, 0.01), 0.5))
 
-    dice = F.pmod(F.xxhash64(F.lit("documents"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    votes = settle(docs.select(dice.alias("dice"), "text").mapInArrow(
-        _votes(features, len(voters), "dice"), "dice double, votes bigint, features array<string>"))
-    patterns = settle(votes.groupBy("votes").agg(F.count("*").alias("n")).coalesce(16))
-    model = fit_label_model(patterns, start, none, prior)
+    # every document is read for votes, a bounded sample of them for the features that the regression learns from
+    votes = docs.select("text").mapInArrow(_votes(voters, len(voters)), "votes bigint")
+    patterns = settle(votes.groupBy("votes").agg(F.count("*").alias("n")))
+    model = fit_label_model(patterns.coalesce(16), start, none, prior)
 
-    total = votes.count()
-    chosen = votes.where(F.col("dice") < DOCUMENTS / max(total, 1)).select("votes", "features")
+    total = patterns.agg(F.sum("n")).first()[0] or 0
+    dice = F.pmod(F.xxhash64(F.lit("documents"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = docs.where(dice < DOCUMENTS / max(total, 1)).select("text").mapInArrow(
+        _votes(features, len(voters), features=True), "votes bigint, features array<string>")
     toxic = settle(chosen.mapInPandas(_posteriors(model, len(voters)), "toxic double, features array<string>"))
     weights, intercept = _regression(toxic, features, model, len(voters))
     return Toxicity(features, weights, intercept, voters, model)
@@ -292,14 +301,14 @@ def _counted(sample: DataFrame, features: list[str] | None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, found = Reader(features or []), Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
                 if features:
-                    found.update(features[i] for i in read(text))
+                    found.update(features[i] for i in read(text.as_py()))
                 else:
-                    found.update(all_features(text))
-            if len(found) > REMEMBERED:
-                yield out(found)
-                found = Counter()
+                    found.update(all_features(text.as_py()))
+                if len(found) > COUNTED:
+                    yield out(found)
+                    found = Counter()
         yield out(found)
 
     def out(found: Counter) -> pa.RecordBatch:
@@ -342,10 +351,9 @@ def _chosen(lift: dict[str, float], toxic: dict[str, int], most: int, taken: set
 
 def _start(sample: DataFrame, voters: list[str], share: float) -> tuple[np.ndarray, float, float]:
     """What the labelled sample says: P(vote | class) among texts with votes, P(toxic | no vote), P(toxic | votes)."""
-    read = sample.select("text", F.col("toxic").alias("doc_id")).mapInArrow(
-        _votes(voters, len(voters), "doc_id"), "doc_id int, votes bigint, features array<string>")
+    read = sample.select("text", "toxic").mapInArrow(_votes(voters, len(voters), "toxic"), "toxic int, votes bigint")
     # as many rows as the sample at most
-    rows = read.groupBy(F.col("doc_id").alias("toxic"), "votes").count().collect()
+    rows = read.groupBy("toxic", "votes").count().collect()
     votes = unpack_votes(np.array([r.votes for r in rows], np.int64), len(voters))
     n, toxic = np.array([r["count"] for r in rows], float), np.array([r.toxic for r in rows])
     some = votes.any(axis=1)
@@ -365,15 +373,16 @@ def _start(sample: DataFrame, voters: list[str], share: float) -> tuple[np.ndarr
     return rates, none / (1 + none), some_votes / (1 + some_votes)
 
 
-def _votes(features: list[str], n_voters: int, carried: str):
-    """Rows with `carried`, the votes as bits and the numbers of all features, as text."""
+def _votes(known: list[str], n_voters: int, *carried: str, features: bool = False):
+    """Rows with the columns `carried`, the votes as bits and, if asked for, the numbers of all features as text."""
     def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, names = Reader(features), [str(i) for i in range(len(features))]
+        read, numbers = Reader(known), [str(i) for i in range(len(known))]
         for batch in batches:
-            found = [read(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(carried), pa.array([sum(1 << i for i in f if i < n_voters) for f in found], pa.int64()),
-                pa.array([[names[i] for i in f] for f in found], pa.list_(pa.string()))], names=[carried, "votes", "features"])
+            found = [read(t.as_py()) for t in batch.column("text")]
+            columns = [*[batch.column(c) for c in carried], pa.array([sum(1 << i for i in f if i < n_voters) for f in found], pa.int64())]
+            if features:
+                columns.append(pa.array([[numbers[i] for i in f] for f in found], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "votes", *["features"] * features])
 
     return read_all
 
