@@ -1,9 +1,7 @@
-"""Quantile regression by gradient boosting on Spark's own regression trees.
+"""Linear and boosted models of prices; see `hist` for how boosted trees are trained.
 
-Each round fits a small tree to the sign of the residual (the gradient of the
-pinball loss) and gives every leaf the wanted quantile of the residuals that
-fall into it (Friedman 2001). Spark grows the trees and computes the leaf
-quantiles; the driver sees one number per leaf.
+Quantile models are boosted trees whose leaves hold the wanted quantile of the residuals that fall into them (Friedman
+2001). All levels of one call are trained in the same passes over the rows.
 """
 
 from __future__ import annotations
@@ -13,22 +11,16 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression,
-)
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lotwise.config import QUANTILES
-from lotwise.operators.metrics import pinball_of
-from lotwise.operators.quantiles import quantile_table
+from lotwise.learning import hist
 from lotwise.scale import settle
 
 
-def _leaf_value(leaf: Column, values: Mapping[float, float]) -> Column:
-    pairs = [F.lit(x) for leaf_id, v in sorted(values.items()) for x in (float(leaf_id), float(v))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), leaf), F.lit(0.0))
-
-
 def linear_price(df: DataFrame, features: Sequence[str], label: str = "log_price"):
     """Pipeline-ready linear model of the log price over named feature columns."""
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
@@ -37,143 +29,109 @@ def linear_price(df: DataFrame, features: Sequence[str], label: str = "log_price
 
 def boosted_price(
     df: DataFrame, features: Sequence[str], label: str = "log_price",
-    rounds: int = 20, depth: int = 5, step: float = 0.1, loss: str = "squared", seed: int = 42,
-):
+    rounds: int = 20, depth: int = 5, step: float = 0.1, loss: str = "squared", min_rows: int = 1,
+) -> "QuantileBoostModel":
+    """Boosted trees for the mean (`loss` = squared) or the median (absolute) of a label."""
     rows = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, lossType=loss, seed=seed,
-    ).fit(rows)
+    alpha = {"squared": None, "absolute": 0.5}[loss]
+    return QuantileBoost(alpha, rounds=rounds, depth=depth, step=step, label=label, min_rows=min_rows).fit(rows)
+
+
+def feature_array(df: DataFrame, features: str) -> Column:
+    """A vector or array column as an array of doubles."""
+    column = F.col(features)
+    return vector_to_array(column) if isinstance(df.schema[features].dataType, VectorUDT) else column.cast("array<double>")
 
 
 class QuantileBoost(Estimator):
-    """Boosted trees for one quantile level of `label`.
+    """Boosted trees for one quantile level of `label`, or its mean if `alpha` is None.
 
     `validation_col` marks rows kept out of training; boosting stops after
-    `patience` rounds without a lower pinball loss on them, and the model keeps
-    the rounds up to the best one. `weight_col` weighs rows in growing the trees.
+    `patience` rounds without a lower loss on them, and the model keeps the
+    rounds up to the best one. `weight_col` weighs rows in growing the trees.
+    `monotone` maps places in the feature vector to 1 (the prediction never
+    falls with the feature) or -1 (never rises).
     """
 
     def __init__(
-        self, alpha: float = 0.5, rounds: int = 20, step: float = 0.3, depth: int = 4, seed: int = 42,
+        self, alpha: float | None = 0.5, rounds: int = 20, step: float = 0.3, depth: int = 4,
         features: str = "features", label: str = "log_price", prediction: str = "prediction",
-        validation_col: str | None = None, patience: int = 50, settle_every: int = 5,
-        weight_col: str | None = None, min_rows: int = 20,
+        validation_col: str | None = None, patience: int = 50, settle_every: int = hist.SETTLED,
+        weight_col: str | None = None, min_rows: int = 20, monotone: Mapping[int, int] | None = None,
     ):
         super().__init__()
-        self.alpha, self.rounds, self.step, self.depth, self.seed = alpha, rounds, step, depth, seed
+        self.alpha, self.rounds, self.step, self.depth = alpha, rounds, step, depth
         self.features, self.label, self.prediction = features, label, prediction
         self.validation_col, self.patience, self.settle_every = validation_col, patience, settle_every
-        self.weight_col, self.min_rows = weight_col, min_rows
+        self.weight_col, self.min_rows, self.monotone = weight_col, min_rows, dict(monotone or {})
 
     def _fit(self, dataset: DataFrame) -> "QuantileBoostModel":
-        keep = F.coalesce(F.col(self.validation_col), F.lit(False)) if self.validation_col else F.lit(False)
-        weight = F.col(self.weight_col) if self.weight_col else F.lit(1.0)
-        rows = dataset.where(F.col(self.label).isNotNull()).select(
-            F.col(self.features).alias("_x"), F.col(self.label).cast("double").alias("_y"),
-            keep.cast("boolean").alias("_held"), weight.alias("_w"),
-        )
-        rows = settle(rows)
-        start = quantile_table(rows.where("not _held"), [], {"q": ("_y", self.alpha)}).first()["q"]
-        current = rows.withColumn("_f", F.lit(float(start)))
-        trees: list[tuple[DecisionTreeRegressionModel, dict[float, float]]] = []
-        best, best_loss = 0, self._loss(current)
-        learner = DecisionTreeRegressor(
-            featuresCol="_x", labelCol="_g", predictionCol="_p", leafCol="_leaf", weightCol="_w",
-            maxDepth=self.depth, minInstancesPerNode=self.min_rows, seed=self.seed, cacheNodeIds=False,
-        )
-        for r in range(1, self.rounds + 1):
-            residual = F.col("_y") - F.col("_f")
-            train = current.where("not _held").withColumn(
-                "_g", F.when(residual >= 0, self.alpha).otherwise(self.alpha - 1)
-            )
-            tree = learner.fit(train).setPredictionCol("")
-            leaves = quantile_table(
-                tree.transform(train).withColumn("_e", residual), ["_leaf"], {"v": ("_e", self.alpha)}
-            )
-            values = {row["_leaf"]: self.step * row["v"] for row in leaves.collect()}
-            trees.append((tree, values))
-            current = (
-                tree.transform(current)
-                .withColumn("_f", F.col("_f") + _leaf_value(F.col("_leaf"), values)).drop("_leaf")
-            )
-            if r % self.settle_every == 0 and r < self.rounds:
-                current = settle(current)
-            if best_loss is not None:
-                loss = self._loss(current)
-                if loss < best_loss:
-                    best, best_loss = r, loss
-                elif r - best >= self.patience:
-                    break
-        if self.validation_col and best_loss is not None:
-            trees = trees[:best]
-        return QuantileBoostModel(float(start), trees, self.features, self.prediction)
-
-    def _loss(self, scored: DataFrame) -> float | None:
-        if not self.validation_col:
-            return None
-        loss = pinball_of(F.col("_y"), F.col("_f"), self.alpha)
-        return scored.where("_held").agg(F.avg(loss).alias("loss")).first()["loss"]
+        return fit_together(dataset, {self.prediction: self})[self.prediction]
+
+
+def fit_together(df: DataFrame, models: Mapping[str, QuantileBoost]) -> dict[str, "QuantileBoostModel"]:
+    """Fit models of the same rows, features and label in the same passes."""
+    one = next(iter(models.values()))
+    rows = settle(df.select(
+        feature_array(df, one.features).alias("x"), F.col(one.label).cast("double").alias("y"),
+        (F.col(one.weight_col).cast("double") if one.weight_col else F.lit(1.0)).alias("w"),
+        (F.coalesce(F.col(one.validation_col), F.lit(False)) if one.validation_col else F.lit(False)).cast("boolean").alias("held")))
+    first = rows.first()
+    width = len(first.x) if first else 0
+    specs = [
+        hist.Spec(m.alpha, tuple(range(width)), m.step, m.rounds, m.depth, m.min_rows, monotone=m.monotone, patience=m.patience)
+        for m in models.values()]
+    fitted = hist.train(rows, "x", width, "y", specs, held="held", weight="w", settled=one.settle_every)
+    return {name: QuantileBoostModel(f, m.features, m.prediction) for (name, m), f in zip(models.items(), fitted)}
 
 
 class QuantileBoostModel(Model):
-    def __init__(self, start: float, trees, features: str = "features", prediction: str = "prediction"):
+    def __init__(self, fitted: hist.HistModel, features: str = "features", prediction: str = "prediction"):
         super().__init__()
-        self.start, self.trees, self.features, self.prediction = start, list(trees), features, prediction
+        self.fitted, self.features, self.prediction = fitted, features, prediction
 
     @property
     def best_iteration(self) -> int:
-        return len(self.trees)
+        return len(self.fitted.trees)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        out, total = dataset, F.lit(self.start)
-        leaves = []
-        for i, (tree, values) in enumerate(self.trees):
-            leaf = f"_leaf_{i}"
-            out = tree.copy().setFeaturesCol(self.features).setLeafCol(leaf).transform(out)
-            total = total + _leaf_value(F.col(leaf), values)
-            leaves.append(leaf)
-        return out.withColumn(self.prediction, total).drop(*leaves)
+        scores = hist.predict(feature_array(dataset, self.features), [self.fitted])
+        return dataset.withColumn(self.prediction, F.get(scores, F.lit(0)))
 
     def feature_importances(self, n_features: int) -> list[float]:
-        """Mean of the trees' normalised importances."""
-        sums = [0.0] * n_features
-        for tree, _ in self.trees:
-            for i, v in enumerate(tree.featureImportances.toArray()):
-                sums[i] += float(v)
-        return [s / max(1, len(self.trees)) for s in sums]
+        """Share of each feature in the gain of all splits."""
+        shares = self.fitted.importances()
+        return shares + [0.0] * (n_features - len(shares))
+
+    def explain(self, dataset: DataFrame, contributions: str = "contributions", base: str = "base_value") -> DataFrame:
+        """`dataset` with what each feature adds to the prediction of each row (an array in the order of the features) and
+        the base value: together they are the prediction."""
+        return dataset.withColumns({
+            contributions: hist.contributions(feature_array(dataset, self.features), self.fitted),
+            base: F.lit(hist.expected_value(self.fitted))})
 
     def save(self, spark: SparkSession, path: str) -> None:
-        meta = {
-            "start": self.start, "features": self.features, "prediction": self.prediction,
-            "leaves": [sorted([float(k), float(v)] for k, v in values.items()) for _, values in self.trees],
-        }
+        meta = {"features": self.features, "prediction": self.prediction, **self.fitted.to_json()}
         spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode("overwrite").text(f"{path}/meta")
-        for i, (tree, _) in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree_{i}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "QuantileBoostModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        trees = [
-            (DecisionTreeRegressionModel.load(f"{path}/tree_{i}"), {k: v for k, v in values})
-            for i, values in enumerate(meta["leaves"])
-        ]
-        return cls(meta["start"], trees, meta["features"], meta["prediction"])
+        return cls(hist.HistModel.from_json(meta), meta["features"], meta["prediction"])
 
 
 def fit_quantiles(df: DataFrame, qs: Mapping[str, float] = QUANTILES, **params) -> dict[str, QuantileBoostModel]:
-    """One boosted model per named level, each predicting into '<name>_log'."""
-    return {
-        name: QuantileBoost(alpha=alpha, prediction=f"{name}_log", **params).fit(df) for name, alpha in qs.items()
-    }
+    """One boosted model per named level, each predicting into '<name>_log'; all are trained in the same passes."""
+    return fit_together(df, {name: QuantileBoost(alpha=alpha, prediction=f"{name}_log", **params) for name, alpha in qs.items()})
 
 
 def predict_quantiles(df: DataFrame, models: Mapping[str, QuantileBoostModel]) -> DataFrame:
-    """Score every model and take the logarithm back."""
-    out = df
-    for name, model in models.items():
-        out = model.transform(out).withColumn(name, F.exp(f"{name}_log"))
-    return out
+    """Score all models in one pass and take the logarithm back."""
+    features = next(iter(models.values())).features
+    out = df.withColumn("__scores", hist.predict(feature_array(df, features), [m.fitted for m in models.values()]))
+    for i, (name, model) in enumerate(models.items()):
+        out = out.withColumn(model.prediction, F.get("__scores", F.lit(i))).withColumn(name, F.exp(model.prediction))
+    return out.drop("__scores")
 
 
 def importances(values: Sequence[float], features: Sequence[str], spark: SparkSession) -> DataFrame:

@@ -6,10 +6,12 @@ fitted, and is joined to the rows in `transform`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, replace
+from importlib import import_module
 
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -19,7 +21,7 @@ from lotwise.config import (
 from lotwise.functions import features as fx
 from lotwise.functions.parse import keyword_flags
 from lotwise.operators.keys import join_on, with_one_row
-from lotwise.operators.quantiles import quantile_table
+from lotwise.operators.quantiles import quantile_table, rollup_quantiles
 from lotwise.operators.rows import align
 from lotwise.operators.stats import n_rows, price_cv
 from lotwise.scale import settle
@@ -132,78 +134,124 @@ def distribution_features(
     )
 
 
-def _entity_state(rows: DataFrame, keys: Sequence[str], prefix: str, min_samples: int, strategy) -> DataFrame:
-    """All statistics of one kind of entity: one quantile pass and one aggregate."""
-    spec = {
+def _state_spec(prefix: str) -> dict[str, tuple[str, float]]:
+    return {
         f"{prefix}_median_km": ("km", 0.5), f"{prefix}_median_age": ("car_age", 0.5),
         f"{prefix}_median_log_price": ("_lp", 0.5), f"{prefix}_p25_log_price": ("_lp", 0.25),
         f"{prefix}_p75_log_price": ("_lp", 0.75), f"{prefix}_p90_log_price": ("_lp", 0.9),
     }
-    state = quantile_table(
-        rows, keys, spec,
-        aggs=[
-            n_rows(f"{prefix}_count"), F.count("_lp").alias("_np"),
-            F.avg("km").alias(f"{prefix}_avg_km"), F.avg("car_age").alias(f"{prefix}_avg_age"),
-            F.avg("_lp").alias(f"{prefix}_mean_log_price"), F.stddev_pop("_lp").alias(f"{prefix}_std_log_price"),
-        ],
-        strategy=strategy,
-    ).withColumn(f"{prefix}_iqr_log_price", F.col(f"{prefix}_p75_log_price") - F.col(f"{prefix}_p25_log_price"))
+
+
+STATE_KEYS = ("_kind", "_view", "_k0", "_k1", "_k2")
+
+
+def _rollup_state(rows: DataFrame, model_key: Sequence[str], views: Column | None) -> DataFrame:
+    """One row per group of every kind (brand, model key, pair of brand and model, all) and view, from one table of counts.
+
+    `views` is an array of the views that a row's fold is training data of; without it there is one view.
+    """
+    finest = list(dict.fromkeys(["brand", "model", *model_key]))
+    text = lambda c: F.col(c).cast("string")
+
+    def group(kind: str, view: Column, keys: Sequence[str]) -> Column:
+        full = [text(k) for k in keys] + [F.lit(None).cast("string")] * (3 - len(keys))
+        return F.struct(F.lit(kind).alias("_kind"), view.alias("_view"), *[c.alias(f"_k{i}") for i, c in enumerate(full)])
+
+    pairs = [] if list(model_key) == ["brand", "model"] else [("pairs", ["brand", "model"])]
+    kinds = [("brands", ["brand"]), ("models", list(model_key)), *pairs, ("globals", [])]
+    views = F.array(F.lit(0)) if views is None else views
+    groups = F.flatten(F.transform(views, lambda v: F.array(*[group(kind, v, keys) for kind, keys in kinds])))
+    keys = [*finest, *(["_fold"] if "_fold" in rows.columns else [])]
+    spec = {**_state_spec("e"), **{k: ("km", q) for k, q in KM_CUTS.items()}}
+    stats = {
+        "_np": ("count", "_lp"), "e_avg_km": ("mean", "km"), "e_avg_age": ("mean", "car_age"),
+        "e_mean_log_price": ("mean", "_lp"), "e_std_log_price": ("std", "_lp")}
+    return settle(rollup_quantiles(rows, keys, groups, spec, n="e_count", stats=stats))
+
+
+def _entity_state(table: DataFrame, keys: Sequence[str], types: Mapping[str, T.DataType], prefix: str, min_samples: int) -> DataFrame:
+    """State of one kind of entity, per view: statistics of the log price need `min_samples` rows; flags compare its median
+    with those of all entities of the view."""
+    named = {c: f"{prefix}{c[1:]}" for c in table.columns if c.startswith("e_")}
+    state = table.withColumnsRenamed(named).withColumn(
+        f"{prefix}_iqr_log_price", F.col(f"{prefix}_p75_log_price") - F.col(f"{prefix}_p25_log_price"))
     enough = F.col("_np") >= min_samples
-    state = state.withColumns({
-        c: F.when(enough, F.col(c)) for c in state.columns if c.endswith("_log_price")
-    })
+    state = state.withColumns({c: F.when(enough, F.col(c)) for c in state.columns if c.endswith("_log_price")})
+    state = state.withColumns({k: F.col(f"_k{i}").cast(types[k]) for i, k in enumerate(keys)})
     median = f"{prefix}_median_log_price"
-    cuts = quantile_table(
-        state.where(F.col(median).isNotNull()), [],
-        {"_q25": (median, 0.25), "_q75": (median, 0.75), "_q95": (median, 0.95)},
-    )
-    return (
-        with_one_row(state, cuts)
-        .withColumns(_flag_columns(median, {"q25": "_q25", "q75": "_q75", "q95": "_q95"}, prefix))
-        .drop("_q25", "_q75", "_q95", "_np")
-    )
+    cuts = settle(quantile_table(
+        state.where(F.col(median).isNotNull()), ["_view"],
+        {"_q25": (median, 0.25), "_q75": (median, 0.75), "_q95": (median, 0.95)}))
+    flagged = join_on(state, cuts, ["_view"], "left").withColumns(
+        _flag_columns(median, {"q25": "_q25", "q75": "_q75", "q95": "_q95"}, prefix))
+    own = [
+        f"{prefix}_count", f"{prefix}_avg_km", f"{prefix}_avg_age", f"{prefix}_mean_log_price", f"{prefix}_std_log_price",
+        *_state_spec(prefix), f"{prefix}_iqr_log_price", *[f"{prefix}_{f}_price" for f in FLAGS]]
+    return flagged.select("_view", *keys, *own)
+
+
+def _states(rows: DataFrame, config: EncoderConfig, views: Column | None) -> dict[str, DataFrame]:
+    """The tables of the encoder's state, each with a column _view; see _rollup_state."""
+    types = {f.name: f.dataType for f in rows.schema}
+    table = _rollup_state(rows, config.model_key, views)
+    of = lambda kind: table.where(F.col("_kind") == kind)
+    entity = lambda kind, keys, prefix: _entity_state(
+        of(kind).drop("_kind", *KM_CUTS), keys, types, prefix, config.min_samples)
+    models = list(config.model_key)
+    pairs = of("models" if models == ["brand", "model"] else "pairs").where(F.col("_np") >= config.min_samples)
+    order = Window.partitionBy("_view", "_k0").orderBy("e_median_log_price")
+    state = {
+        "brands": entity("brands", ["brand"], "brand"),
+        "models": entity("models", models, "model"),
+        "ranks": pairs.select(
+            "_view", F.col("_k0").cast(types["brand"]).alias("brand"), F.col("_k1").cast(types["model"]).alias("model"),
+            F.dense_rank().over(order).alias("model_rank_within_brand")),
+        "globals": of("globals").select(
+            "_view", *KM_CUTS, F.col("e_median_log_price").alias("global_median"), F.col("e_mean_log_price").alias("global_mean"),
+            F.col("e_std_log_price").alias("global_std"), F.col("e_avg_km").alias("global_km_mean"), F.col("e_avg_age").alias("global_age_mean")),
+    }
+    return {name: settle(df) for name, df in state.items()}
 
 
 class PriceEncoder(Estimator):
     """Learns brand, model and mileage statistics from training rows."""
 
-    def __init__(
-        self, config: EncoderConfig = EncoderConfig(), price: str = "price", *, eager: bool = True, strategy: str | None = None
-    ):
+    def __init__(self, config: EncoderConfig = EncoderConfig(), price: str = "price"):
         super().__init__()
-        self.config, self.price, self.eager, self.strategy = config, price, eager, strategy
+        self.config, self.price = config, price
 
-    def _fit(self, dataset: DataFrame) -> "PriceEncoderModel":
+    def _prepared(self, dataset: DataFrame, *more: Column) -> DataFrame:
         c = self.config
         rows = (
             dataset.withColumn("car_age", fx.car_age("year", c.current_year))
             .withColumn("_lp", F.when(F.col(self.price) > 0, F.ln(self.price)))
         )
-        if self.eager:
-            rows = settle(rows.select(*dict.fromkeys(["brand", "model", *c.model_key, "km", "car_age", "_lp", self.price])))
-        state = {
-            "brands": _entity_state(rows, ["brand"], "brand", c.min_samples, self.strategy),
-            "models": _entity_state(rows, list(c.model_key), "model", c.min_samples, self.strategy),
-            "ranks": model_rank(rows, price=self.price, min_samples=c.min_samples, strategy=self.strategy),
-            "globals": quantile_table(
-                rows, [], {**{k: ("km", q) for k, q in KM_CUTS.items()}, "global_median": ("_lp", 0.5)},
-                aggs=[
-                    F.avg("_lp").alias("global_mean"), F.stddev_pop("_lp").alias("global_std"),
-                    F.avg("km").alias("global_km_mean"), F.avg("car_age").alias("global_age_mean"),
-                ],
-                strategy=self.strategy,
-            ),
-        }
-        if self.eager:
-            state = {name: settle(df) for name, df in state.items()}
-        blocks = [
+        return settle(rows.select(*dict.fromkeys(["brand", "model", *c.model_key, "km", "car_age", "_lp"]), *more))
+
+    def _blocks(self, dataset: DataFrame) -> list["OneHotModel"]:
+        c = self.config
+        return [
             OneHot(col, prefix).fit(dataset)
             for col, prefix, wanted in (
                 ("brand", "ohe_brand", c.brand_onehot),
                 ("energie", "energie", c.fuel_onehot and "energie" in dataset.columns),
             ) if wanted
         ]
-        return PriceEncoderModel(c, state, blocks)
+
+    def _fit(self, dataset: DataFrame) -> "PriceEncoderModel":
+        """All state from one table of counts per (brand, model); see `_rollup_state`."""
+        states = _states(self._prepared(dataset), self.config, None)
+        return PriceEncoderModel(self.config, {n: df.drop("_view") for n, df in states.items()}, self._blocks(dataset))
+
+    def fit_folds(self, dataset: DataFrame, fold: str, k: int) -> list["PriceEncoderModel"]:
+        """k models, the i-th learned from all rows but those of fold i, and all from one table of counts: rows are counted
+        per fold, and a model's state adds up the folds it may see. Levels of one-hot columns come from all rows."""
+        rows = self._prepared(dataset, F.col(fold).cast("int").alias("_fold"))
+        views = F.array_except(F.array(*[F.lit(i) for i in range(k)]), F.array(F.col("_fold")))
+        states, blocks = _states(rows, self.config, views), self._blocks(dataset)
+        return [
+            PriceEncoderModel(self.config, {n: df.where(F.col("_view") == i).drop("_view") for n, df in states.items()}, blocks)
+            for i in range(k)]
 
 
 class PriceEncoderModel(Model):
@@ -448,6 +496,51 @@ def expanded_pipeline(config: EncoderConfig = EncoderConfig(horsepower=True, bra
     return Pipeline(stages=[PriceEncoder(config), FuelFlags(), CvEncoder()])
 
 
+def save_pipeline(fitted: PipelineModel, spark: SparkSession, path: str) -> None:
+    """The stages of a fitted pipeline as one folder: a line per stage, and the tables and Spark stages beside it."""
+    lines = []
+    for i, stage in enumerate(fitted.stages):
+        at, kind, values = f"{path}/stage_{i}", type(stage).__name__, None
+        if isinstance(stage, PriceEncoderModel):
+            stage.save(at)
+        elif isinstance(stage, CvEncoderModel):
+            values = list(stage.tables)
+            for key, table in stage.tables.items():
+                table.write.mode("overwrite").parquet(f"{at}/{key}")
+        elif isinstance(stage, OneHotModel):
+            values = [stage.col, stage.prefix, stage.levels, stage.drop_input]
+        elif isinstance(stage, StandardizeModel):
+            values = [[c, m, s] for c, (m, s) in stage.moments.items()]
+        elif isinstance(stage, FuelFlags):
+            values = [stage.col, stage.top]
+        else:
+            kind, values = "spark", f"{type(stage).__module__}.{type(stage).__qualname__}"
+            stage.write().overwrite().save(at)
+        lines.append((i, kind, json.dumps(values)))
+    spark.createDataFrame(lines, "place int, kind string, value string").write.mode("overwrite").parquet(f"{path}/stages")
+
+
+def load_pipeline(spark: SparkSession, path: str) -> PipelineModel:
+    """What `save_pipeline` wrote."""
+    def read(place: int, kind: str, value: str):
+        at, values = f"{path}/stage_{place}", json.loads(value)
+        if kind == "PriceEncoderModel":
+            return PriceEncoderModel.load(spark, at)
+        if kind == "CvEncoderModel":
+            return CvEncoderModel({key: spark.read.parquet(f"{at}/{key}") for key in values})
+        if kind == "OneHotModel":
+            return OneHotModel(*values)
+        if kind == "StandardizeModel":
+            return StandardizeModel({c: (m, s) for c, m, s in values})
+        if kind == "FuelFlags":
+            return FuelFlags(*values)
+        module, name = values.rsplit(".", 1)
+        return getattr(import_module(module), name).load(at)
+
+    rows = spark.read.parquet(f"{path}/stages").orderBy("place").collect()
+    return PipelineModel([read(r.place, r.kind, r.value) for r in rows])
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Feature columns as one vector, nulls as 0."""
     filled = df.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features})

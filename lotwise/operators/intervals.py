@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lotwise.config import AGE_BUCKETS, QUANTILES
 from lotwise.functions.features import age_bucket
 from lotwise.operators.keys import hash_bucket, join_on, with_one_row
-from lotwise.operators.match import band_quantiles
-from lotwise.operators.quantiles import quantile_table
+from lotwise.operators.quantiles import quantile_table, rollup_quantiles
 from lotwise.operators.stats import n_rows
 from lotwise.scale import settle
 
@@ -22,44 +21,47 @@ def corridor(
     """Empirical quantiles of comparable training rows, backing off until there are enough.
 
     Levels: (brand, model, year), the same within ±1 year, (brand, model),
-    brand, all rows. `level` tells which one a row got, `support` its size.
-    Every level reads the training rows again: settle them first if they come
-    from a costly plan.
+    brand, all rows. `level` tells which one a row got, `support` its size. All
+    levels come from one table of counts; rows with a null key have only the
+    levels without it. `strategy` names another quantile engine (see there).
     """
-    known = train.where(F.col(price).isNotNull()).select(brand, model, year, price)
-    spec = {name: (price, q) for name, q in qs.items()}
-    exact_keys, pair = [brand, model, year], [brand, model]
-
-    def level(i: int, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-        named = table.withColumnsRenamed({**{q: f"_{q}_{i}" for q in qs}, "_n": f"_n_{i}"})
-        return named if i == len(levels) else named.where(F.col(f"_n_{i}") >= min_n)
-
-    def grouped(keys: Sequence[str]) -> DataFrame:
-        return quantile_table(known, keys, spec, aggs=[n_rows("_n")], strategy=strategy)
-
-    levels: list[tuple[DataFrame, list[str]]] = [
-        (grouped(exact_keys), exact_keys),
-        (band_quantiles(df, known, pair, year, 1, spec, "_n", strategy=strategy), exact_keys),
-        (grouped(pair), pair),
-        (grouped([brand]), [brand]),
-    ]
-    out = df
-    for i, (table, keys) in enumerate(levels):
-        out = out.join(level(i, table, keys), keys, "left")
-    whole = level(len(levels), grouped([]), [])
-    out = with_one_row(out, whole)
-
-    used = range(len(levels) + 1)
-    chosen = F.lit(None).cast("int")
-    for i in reversed(used):
-        chosen = F.when(F.col(f"_n_{i}").isNotNull(), i).otherwise(chosen)
-    out = out.withColumn("level", chosen)
-
-    def pick(name: str) -> Column:
-        return F.coalesce(*[F.when(F.col("level") == i, F.col(f"_{name}_{i}")) for i in used])
-
-    helpers = [f"_{q}_{i}" for q in (*qs, "n") for i in used]
-    return out.withColumns({**{q: pick(q) for q in qs}, "support": pick("n")}).drop(*helpers)
+    known = train.where(F.col(price).isNotNull()).select(
+        F.col(brand).alias("_b"), F.col(model).alias("_m"), F.col(year).alias("_y"), F.col(price).alias("_p"))
+    spec = {f"_{name}": ("_p", q) for name, q in qs.items()}
+    b, m, y = F.col("_b"), F.col("_m"), F.col("_y")
+
+    def group(level: int, *keys: Column) -> Column:
+        types = known.schema
+        full = [*keys, *[F.lit(None)] * (3 - len(keys))]
+        return F.struct(F.lit(level).alias("_level"), *[
+            c.cast(types[name].dataType).alias(name) for c, name in zip(full, ("_b", "_m", "_y"))])
+
+    coarse = [group(2, b, m), group(3, b), group(4)]
+    near = F.transform(F.sequence(y - 1, y + 1), lambda other: group(1, b, m, other))
+    groups = F.concat(F.array(group(0, b, m, y), *coarse), F.coalesce(near, F.array().cast(known.select(near).schema[0].dataType)))
+
+    asked = settle(df.select(F.col(brand).alias("_b"), F.col(model).alias("_m"), F.col(year).alias("_y")).distinct())
+    # a null key has no comparables
+    has = [b.isNotNull() & m.isNotNull() & y.isNotNull()] * 2 + [b.isNotNull() & m.isNotNull(), b.isNotNull(), F.lit(True)]
+    offers = F.filter(F.array(*[
+        F.when(ok, g) for ok, g in zip(has, [group(0, b, m, y), group(1, b, m, y), *coarse])]), lambda g: g.isNotNull())
+    offered = asked.select(F.struct("_b", "_m", "_y").alias("_key"), F.inline(offers))
+    fields = ["_level", "_b", "_m", "_y"]
+    if strategy is None:
+        table = rollup_quantiles(known, ["_b", "_m", "_y"], groups, spec, n="_n", wanted=settle(offered.select(*fields).distinct()))
+    else:
+        table = quantile_table(known.select(F.inline(groups), "_p"), fields, spec, aggs=[n_rows("_n")], strategy=strategy)
+    enough = table.where((F.col("_n") >= min_n) | (F.col("_level") == 4))
+    best = join_on(offered, enough, fields).groupBy("_key").agg(
+        F.min_by(F.struct("_level", "_n", *spec), "_level").alias("_best"))
+    chosen = settle(best.select(
+        F.col("_key._b").alias("_b"), F.col("_key._m").alias("_m"), F.col("_key._y").alias("_y"),
+        *[F.col(f"_best.{c}").alias(f"_of{c}") for c in ("_level", "_n", *spec)]))
+    same = F.col(brand).eqNullSafe(F.col("_b")) & F.col(model).eqNullSafe(F.col("_m")) & F.col(year).eqNullSafe(F.col("_y"))
+    out = df.drop(*qs, "support", "level").join(chosen, same, "left")
+    return out.select(
+        *[c for c in df.columns if c not in (*qs, "support", "level")], F.coalesce("_of_level", F.lit(4)).alias("level"),
+        *[F.col(f"_of_{q}").alias(q) for q in qs], F.coalesce("_of_n", F.lit(0)).cast("bigint").alias("support"))
 
 
 def predict_interval(df: DataFrame, model: DataFrame, **levels) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lotwise.scale import share_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,6 +24,7 @@ class Tables:
     """The given tables of one scale, and the listing view over them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        share_package(spark)
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:

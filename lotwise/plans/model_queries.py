@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from lotwise.config import EncoderConfig, LEAN_FEATURES
 from lotwise.functions.features import car_age, plausible_km, power_ratios
-from lotwise.learning import boost, encode as en, evaluate as ev
+from lotwise.learning import boost, encode as en, evaluate as ev, hist
 from lotwise.operators import intervals as iv, quality, stats
 from lotwise.operators.metrics import coverage
+from lotwise.operators.quantiles import rollup_quantiles
 from lotwise.plans.catalog import NOW, Tables, query, sql
 from lotwise.plans.metric_queries import SCORED, scored
-from lotwise.scale import scratch_path
+from lotwise.scale import scratch_path, settle
+from lotwise.sources.files import union_all
 
 MIN = 12
 CONFIG = EncoderConfig(current_year=NOW, min_samples=MIN, model_key=("brand", "model"), horsepower=True, fuel_onehot=True)
 FEATURES = ("car_age", "km", "horsepower", "brand_mean_log_price", "model_mean_log_price", "model_iqr_log_price")
+# Rounds of boosting where the query is about something else than their number.
+ROUNDS = 30
 
 
 def with_variant(df):
@@ -71,7 +77,7 @@ BRAND_STATE = ("brand_count brand_top25_price brand_bottom25_price brand_top5_pr
 
 @query("k1_encoder_state", sql(f"{STATE} SELECT * FROM brands", f"brand {BRAND_STATE[0]}", BRAND_STATE[1]))
 def _(t: Tables):
-    return en.PriceEncoder(CONFIG, eager=False).fit(train_rows(t)).state["brands"]
+    return en.PriceEncoder(CONFIG).fit(train_rows(t)).state["brands"]
 
 
 FILLED = ", ".join(
@@ -231,6 +237,24 @@ def _(t: Tables):
     return en.CategoryCodes(["model"]).fit(train).transform(test_rows(t)).select("url", "model_code")
 
 
+@query("k21_pipeline_saved", sql(f"""
+  WITH {UNSEEN}, tr AS (SELECT * FROM m), a AS (SELECT brand, stddev_samp(price) / (avg(price) + 1) AS c FROM m GROUP BY 1)
+  SELECT url, coalesce(a.c, 0) AS brand_price_cv, pow(horsepower, 3) AS hp_cubed, CAST(d.brand = 'Brand#11' AS INT) AS brand_11, TRUE AS same
+  FROM u AS d LEFT JOIN a ON a.brand = d.brand""", "url brand_11 same", "brand_price_cv hp_cubed"))
+def _(t: Tables):
+    """The fitted pipeline, saved and loaded again, gives the same rows as before."""
+    config = EncoderConfig(current_year=NOW, min_samples=MIN, horsepower=True, brand_onehot=True)
+    fitted, path = en.expanded_pipeline(config).fit(train_rows(t)), scratch_path(t.spark, "pipeline")
+    en.save_pipeline(fitted, t.spark, path)
+    columns = ("brand_price_cv", "model_price_cv", "is_traditional_fuel_premium", "hp_cubed", "`ohe_brand_Brand#11`", "brand_mean_log_price")
+    rows = test_rows(t)
+    before = fitted.transform(rows).select(*rows.columns, F.struct(*columns).alias("before"))
+    after = en.load_pipeline(t.spark, path).transform(before).withColumn("after", F.struct(*columns))
+    return after.select(
+        "url", F.col("after.ohe_brand_Brand#11").alias("brand_11"), F.col("after").eqNullSafe(F.col("before")).alias("same"),
+        "after.brand_price_cv", "after.hp_cubed")
+
+
 @query("k21_expanded_pipeline")
 def _(t: Tables):
     config = EncoderConfig(current_year=NOW, min_samples=MIN, horsepower=True, brand_onehot=True)
@@ -275,7 +299,7 @@ def _(t: Tables):
 @query("l5_boosted_price")
 def _(t: Tables):
     train, test = (df.drop("features") for df in encoded_pair(t))
-    model = boost.boosted_price(train, FEATURES, rounds=3, depth=3)
+    model = boost.boosted_price(train, FEATURES, rounds=ROUNDS, depth=3)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(test)
     return model.transform(rows).select("url", F.exp("prediction").alias("predicted"))
 
@@ -283,14 +307,20 @@ def _(t: Tables):
 @query("l6_quantile_boost")
 def _(t: Tables):
     train, test = encoded_pair(t)
-    model = boost.QuantileBoost(0.85, rounds=4, depth=3).fit(train)
+    model = boost.QuantileBoost(0.85, rounds=200, depth=3, step=0.1).fit(train)
     return model.transform(test).select("url", F.exp("prediction").alias("q85"))
 
 
+def stopped_early(train):
+    """Up to 5,000 rounds, as long as the rows kept aside gain from them."""
+    watched = ev.with_es_slice(train, ["url"])
+    return boost.QuantileBoost(0.5, rounds=5000, depth=3, validation_col="is_es", patience=10).fit(watched)
+
+
 @query("l7_early_stopping")
 def _(t: Tables):
     train, test = encoded_pair(t)
-    model = boost.QuantileBoost(0.5, rounds=6, depth=3, validation_col="is_es", patience=2).fit(ev.with_es_slice(train, ["url"]))
+    model = stopped_early(train)
     return model.transform(test).select("url", F.exp("prediction").alias("q50")).withColumn("rounds", F.lit(model.best_iteration))
 
 
@@ -338,25 +368,25 @@ def _linear(t: Tables):
 
 def _boosted(t: Tables):
     train, _ = encoded_pair(t)
-    model = boost.boosted_price(train.drop("features"), FEATURES, rounds=3, depth=3)
+    model = boost.boosted_price(train.drop("features"), FEATURES, rounds=ROUNDS, depth=3)
     return model.transform(train).withColumn("predicted", F.exp("prediction")), log_mean(t)
 
 
 def _quantile(t: Tables):
     train, _ = encoded_pair(t)
-    model = boost.QuantileBoost(0.85, rounds=4, depth=3).fit(train)
+    model = boost.QuantileBoost(0.85, rounds=ROUNDS, depth=3).fit(train)
     return model.transform(train).withColumn("predicted", F.exp("prediction")), quantile_of(t, 0.85)
 
 
 def _stopped(t: Tables):
     train, _ = encoded_pair(t)
-    model = boost.QuantileBoost(0.5, rounds=6, depth=3, validation_col="is_es", patience=2).fit(ev.with_es_slice(train, ["url"]))
+    model = stopped_early(train)
     return model.transform(train).withColumn("predicted", F.exp("prediction")), quantile_of(t, 0.5)
 
 
 def _predicted(t: Tables):
     train, _ = encoded_pair(t)
-    models = boost.fit_quantiles(train, rounds=2, depth=3)
+    models = boost.fit_quantiles(train, rounds=ROUNDS, depth=3)
     return boost.predict_quantiles(train, models).withColumn("predicted", F.col("q15")), quantile_of(t, 0.15)
 
 
@@ -393,7 +423,7 @@ def _(t: Tables):
 @query("l9_predict_quantiles")
 def _(t: Tables):
     train, test = encoded_pair(t)
-    models = boost.fit_quantiles(train, rounds=2, depth=3)
+    models = boost.fit_quantiles(train, rounds=ROUNDS, depth=3)
     return boost.predict_quantiles(test, models).select("url", "price", "q15", "q50", "q85")
 
 
@@ -432,8 +462,52 @@ def corridor_predict(train, test):
 
 @query("l13_cross_validate")
 def _(t: Tables):
-    fit = ev.boosted_fit_predict(FEATURES, CONFIG, rounds=1, depth=3)
-    return ev.cross_validate(with_variant(t.market), fit, k=5)
+    """Five folds and three levels in the same passes; each fold's encoder sees the other folds only."""
+    points = {"boosted": ev.Point(step=0.3, rounds=ROUNDS, depth=3)}
+    return ev.cross_validate_boosted(with_variant(t.market), FEATURES, points, CONFIG, k=5).drop("point")
+
+
+FOLD5 = f"CAST({SPLIT.format(seed=42, n=5)} AS INT)"
+
+
+STUMP = ("car_age", "km", "horsepower")
+
+
+@query("l13_cross_validate_stump", sql(f"""
+  WITH r AS (SELECT {FOLD5} AS fold, price, ln(price) AS y, car_age::DOUBLE AS f0, km::DOUBLE AS f1, horsepower AS f2 FROM m),
+  fo AS (SELECT DISTINCT fold AS k FROM r), st AS (SELECT k, median(y) AS start FROM fo JOIN r ON fold <> k GROUP BY 1),
+  e AS (SELECT k, y - start AS e, CASE WHEN y - start < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END AS g, f0, f1, f2 FROM r JOIN st ON fold <> k),
+  z AS (SELECT k, 0 AS i, f0 AS x, e, g FROM e UNION ALL SELECT k, 1, f1, e, g FROM e UNION ALL SELECT k, 2, f2, e, g FROM e),
+  v AS (SELECT k, i, x, sum(g) AS g, count(*) AS n FROM z GROUP BY 1, 2, 3),
+  w AS (SELECT k, i, x, sum(g) OVER a AS gl, sum(n) OVER a AS nl, sum(g) OVER b AS gt, sum(n) OVER b AS nt FROM v
+        WINDOW a AS (PARTITION BY k, i ORDER BY x), b AS (PARTITION BY k, i)),
+  s AS (SELECT k, i, x, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt AS gain FROM w WHERE nl >= 20 AND nt - nl >= 20),
+  t AS (SELECT k, i, x FROM (SELECT *, max(gain) OVER (PARTITION BY k) AS top FROM s) WHERE gain >= top * (1 - 1e-9::DOUBLE)
+        QUALIFY row_number() OVER (PARTITION BY k ORDER BY i, x) = 1),
+  lf AS (SELECT t.k, t.i, t.x, median(e) FILTER (WHERE z.x <= t.x) AS low, median(e) FILTER (WHERE z.x > t.x) AS high FROM z JOIN t ON z.k = t.k AND z.i = t.i GROUP BY 1, 2, 3),
+  p AS (SELECT fold, price, y, start + CASE WHEN CASE i WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END <= x THEN low ELSE high END AS q
+        FROM r JOIN st ON st.k = fold JOIN lf ON lf.k = fold)
+  SELECT fold, count(*) AS n_val, avg(abs(y - q)) / 2 AS pinball_q50, avg(abs(price - exp(q))) AS mae FROM p GROUP BY 1""",
+    "fold n_val", "pinball_q50 mae"))
+def _(t: Tables):
+    """Cross validation with one split, which SQL can follow: each fold is scored by the best split of the other folds."""
+    points = {"stump": ev.Point(step=1.0, rounds=1, depth=1)}
+    scored = ev.cross_validate_boosted(with_variant(t.market), STUMP, points, CONFIG, k=5, exact=True)
+    return scored.select("fold", "n_val", "pinball_q50", "mae")
+
+
+@query("l13_fold_state", sql(f"""
+  WITH r AS (SELECT *, {FOLD5} AS fold, ln(price) AS lp FROM m), f AS (SELECT DISTINCT fold FROM r)
+  SELECT f.fold, brand, count(*) AS brand_count, avg(km) AS brand_avg_km, median(lp) AS brand_median_log_price, stddev_pop(lp) AS brand_std_log_price,
+    quantile_cont(lp, 0.9) AS brand_p90_log_price FROM f JOIN r ON r.fold <> f.fold GROUP BY 1, 2 HAVING count(*) >= {MIN}""",
+    "fold brand brand_count", "brand_avg_km brand_median_log_price brand_std_log_price brand_p90_log_price"))
+def _(t: Tables):
+    """The state of every fold's encoder, all from one table of counts, is that of an encoder fitted on the other folds."""
+    rows = ev.with_fold(with_variant(t.market), ["url"])
+    models = en.PriceEncoder(CONFIG).fit_folds(rows, "fold", 5)
+    columns = ("brand", "brand_count", "brand_avg_km", "brand_median_log_price", "brand_std_log_price", "brand_p90_log_price")
+    return union_all(*[
+        m.state["brands"].where(F.col("brand_count") >= MIN).select(F.lit(i).alias("fold"), *columns) for i, m in enumerate(models)])
 
 
 CV_FOLD = f"CAST({SPLIT.format(seed=42, n=3)} AS INT)"
@@ -454,30 +528,164 @@ def _(t: Tables):
     return ev.cross_validate(t.market, fit, k=3).select("fold", "n_val", "median_ape", "coverage", "mae")
 
 
+# The whole grid: five steps by four numbers of rounds.
+GRID = {"step": [0.05, 0.1, 0.2, 0.3, 0.5], "rounds": [5, 10, 15, 20]}
+
+
 @query("l14_grid_search")
 def _(t: Tables):
-    make = lambda step, rounds: ev.boosted_fit_predict(FEATURES, CONFIG, {"q15": 0.15, "q50": 0.5, "q85": 0.85}, step=step, rounds=rounds, depth=2)
-    return ev.grid_search(with_variant(t.market), make, {"step": [0.1, 0.5], "rounds": [1]}, k=2)[0]
+    """20 points x 3 levels x 3 folds; points with the same step are stages of the same models."""
+    return ev.grid_search_boosted(with_variant(t.market), FEATURES, GRID, CONFIG, k=3, depth=3)[0]
+
+
+@query("l14_grid_facts", sql(f"""
+  WITH g AS (SELECT unnest({GRID['step']}::DOUBLE[]) AS step), h AS (SELECT unnest({GRID['rounds']}) AS rounds)
+  SELECT step, rounds, (SELECT count(*) FROM m) AS n_val, TRUE AS best_is_least FROM g, h""", "rounds n_val best_is_least", "step"))
+def _(t: Tables):
+    """Every point is scored on every row, and the best one has the least mean error."""
+    table, best = ev.grid_search_boosted(with_variant(t.market), FEATURES, GRID, CONFIG, k=3, depth=3)
+    least, chosen = table.agg(F.min("mean_mae")).first()[0], best.first()
+    return table.select("step", "rounds", "n_val", F.lit(chosen["mean_mae"] == least).alias("best_is_least"))
+
+
+# Seven feature sets.
+SPECS = {
+    "age_km": ("car_age", "km"),
+    "lean": ("car_age", "km", "horsepower"),
+    "brand": ("car_age", "km", "horsepower", "brand_mean_log_price", "brand_std_log_price"),
+    "model": ("car_age", "km", "horsepower", "model_mean_log_price", "model_iqr_log_price", "model_rank_within_brand"),
+    "brand_and_model": FEATURES,
+    "usage": (*FEATURES, "km_per_year", "log_km", "sqrt_age"),
+    "full": tuple(dict.fromkeys((*LEAN_FEATURES, *FEATURES, "km_per_year", "log_km"))),
+}
+
+
+SPEC_CONFIG = replace(CONFIG, horsepower=False)
 
 
 @query("l15_compare_specs")
 def _(t: Tables):
-    specs = {"age_only": ["car_age"], "brand": ["car_age", "brand_mean_log_price"]}
-    make = lambda features: ev.boosted_fit_predict(features, CONFIG, rounds=1, depth=2)
-    return ev.compare_specs(train_rows(t), test_rows(t), specs, make)
+    point = ev.Point(step=0.3, rounds=ROUNDS, depth=3)
+    return ev.compare_specs_boosted(train_rows(t), test_rows(t), SPECS, SPEC_CONFIG, point)
+
+
+@query("l15_specs_facts", sql(f"""
+  WITH s AS (SELECT unnest({list(SPECS)}) AS spec), c AS (SELECT median(ln(price)) AS c FROM m)
+  SELECT spec, (SELECT count(*) FROM m) AS n_val, (SELECT avg(abs(ln(price) - c)) / 2 FROM m, c) AS constant_loss, TRUE AS better FROM s""",
+    "spec n_val better", "constant_loss"))
+def _(t: Tables):
+    """Each set's median model against the one constant that needs no features, on the rows both learned from."""
+    table = ev.compare_specs_boosted(train_rows(t), train_rows(t), SPECS, SPEC_CONFIG, ev.Point(step=0.3, rounds=10, depth=3))
+    logs = t.market.withColumn("y", F.ln("price"))
+    middle = iv.quantile_table(logs, [], {"c": ("y", 0.5)}).first().c
+    constant = logs.agg(F.avg(F.abs(F.col("y") - middle)) / 2).first()[0]
+    return table.select("spec", "n_val", F.lit(constant).alias("constant_loss"), (F.col("pinball_q50") < constant).alias("better"))
+
+
+@query("l6_first_tree", sql("""
+  WITH r AS (SELECT ln(price) AS y, car_age::DOUBLE AS f0, km::DOUBLE AS f1, horsepower AS f2 FROM m), st AS (SELECT quantile_cont(y, 0.85) AS start FROM r),
+  e AS (SELECT y - start AS e, CASE WHEN y - start < 0 THEN -0.15::DOUBLE ELSE 0.85::DOUBLE END AS g, f0, f1, f2, start FROM r, st),
+  z AS (SELECT 0 AS i, f0 AS x, e, g, start FROM e UNION ALL SELECT 1, f1, e, g, start FROM e UNION ALL SELECT 2, f2, e, g, start FROM e),
+  v AS (SELECT i, x, sum(g) AS g, count(*) AS n FROM z GROUP BY 1, 2),
+  w AS (SELECT i, x, sum(g) OVER a AS gl, sum(n) OVER a AS nl, sum(g) OVER b AS gt, sum(n) OVER b AS nt FROM v
+        WINDOW a AS (PARTITION BY i ORDER BY x), b AS (PARTITION BY i)),
+  s AS (SELECT i, x, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt AS gain FROM w WHERE nl >= 20 AND nt - nl >= 20),
+  t AS (SELECT i, x FROM s WHERE gain >= (SELECT max(gain) FROM s) * (1 - 1e-9::DOUBLE) ORDER BY i, x LIMIT 1)
+  SELECT ['car_age', 'km', 'horsepower'][t.i + 1] AS feature, t.x AS cut, z.x > t.x AS above, count(*) AS n, any_value(start) AS start,
+    quantile_cont(e, 0.85) AS leaf FROM z JOIN t ON z.i = t.i GROUP BY 1, 2, 3""", "feature above n", "cut start leaf"))
+def _(t: Tables):
+    """The first tree of a quantile model, one split deep: the split with the most gain, and the quantile of the residuals
+    on either side."""
+    rows = with_variant(t.market).select(F.ln("price").alias("log_price"), F.array(*[F.col(c).cast("double") for c in STUMP]).alias("features"))
+    fitted = boost.QuantileBoost(0.85, rounds=1, depth=1, step=1.0).fit(rows).fitted
+    tree = fitted.trees[0]
+    cut = fitted.cuts[tree.feature[0]][tree.cut[0]]
+    return t.spark.createDataFrame(
+        [(STUMP[tree.feature[0]], cut, side == 1, int(tree.rows[1 + side]), fitted.start, tree.value[side]) for side in (0, 1)],
+        "feature string, cut double, above boolean, n bigint, start double, leaf double")
+
+
+@query("l6_leaf_shares", sql("SELECT count(*) AS n, 200 AS trees, TRUE AS leaves_are_quantiles FROM m", "n trees leaves_are_quantiles"))
+def _(t: Tables):
+    """200 rounds; in every leaf of the last tree, the share of residuals up to the leaf's value is the level."""
+    train = prepared(t)
+    model = boost.QuantileBoost(0.85, rounds=200, depth=3, step=0.1).fit(train)
+    before, last = boost.QuantileBoostModel(model.fitted.first(199)), model.fitted.trees[-1]
+    leaf = hist.predict(F.col("features"), [hist.HistModel(model.fitted.cuts, 0.0, [last])])
+    scored = before.transform(train).withColumns({"leaf": F.get(leaf, F.lit(0)), "e": F.col("log_price") - F.col("prediction")})
+    value = F.col("leaf") / 0.1
+    # a quantile between two values has at most one of them more or less on its side, and equal ones
+    leaves = scored.groupBy("leaf").agg(
+        F.count("*").alias("n"), F.sum((F.col("e") < value - 1e-9).cast("int")).alias("below"), F.sum((F.col("e") <= value + 1e-9).cast("int")).alias("upto"))
+    ok = (F.col("below") <= 0.85 * (F.col("n") - 1) + 1) & (F.col("upto") >= 0.85 * (F.col("n") - 1))
+    return leaves.agg(F.sum("n").alias("n"), F.lit(len(model.fitted.trees)).alias("trees"), F.min(ok).alias("leaves_are_quantiles"))
+
+
+def prepared(t: Tables):
+    """Training rows with few plain features as an array, settled."""
+    rows = with_variant(t.market).select(
+        "url", "price", F.ln("price").alias("log_price"), F.array(*[F.col(c).cast("double") for c in STUMP]).alias("features"))
+    return settle(rows)
 
 
 @query("l16_importances")
 def _(t: Tables):
     train, _test = encoded_pair(t)
-    model = boost.QuantileBoost(0.5, rounds=3, depth=3).fit(train)
+    model = boost.QuantileBoost(0.5, rounds=ROUNDS, depth=3).fit(train)
     return boost.importances(model.feature_importances(len(FEATURES)), FEATURES, t.spark)
 
 
+@query("l16_importance_facts", sql(
+    "SELECT feature, feature <> 'nothing' AS used, TRUE AS whole FROM (SELECT unnest(['car_age', 'km', 'horsepower', 'nothing']) AS feature)",
+    "feature used whole"))
+def _(t: Tables):
+    """Shares add up to 1; a feature that is the same in all rows has none."""
+    rows = prepared(t).withColumn("features", F.array_append("features", F.lit(1.0)))
+    shares = boost.QuantileBoost(0.5, rounds=ROUNDS, depth=3).fit(rows).feature_importances(4)
+    table = boost.importances(shares, [*STUMP, "nothing"], t.spark)
+    return table.select("feature", (F.col("importance") > 0).alias("used"), F.lit(abs(sum(shares) - 1) < 1e-9).alias("whole"))
+
+
+@query("l17_contributions")
+def _(t: Tables):
+    train, test = encoded_pair(t)
+    model = boost.QuantileBoost(0.5, rounds=ROUNDS, depth=3).fit(train)
+    explained = model.explain(test)
+    return explained.select("url", "base_value", *[F.get("contributions", F.lit(i)).alias(f"of_{f}") for i, f in enumerate(FEATURES)])
+
+
+@query("l17_contributions_add_up", sql("SELECT url, TRUE AS adds_up, TRUE AS unused_is_0 FROM d", "url adds_up unused_is_0"))
+def _(t: Tables):
+    """For every row, the base value and what the features add are the prediction; a constant feature adds nothing."""
+    model = boost.QuantileBoost(0.85, rounds=ROUNDS, depth=3).fit(prepared(t).withColumn("features", F.array_append("features", F.lit(1.0))))
+    rows = with_variant(t.declared).select("url", F.array(*[F.col(c).cast("double") for c in STUMP], F.lit(1.0)).alias("features"))
+    explained = model.transform(model.explain(rows))
+    total = F.aggregate("contributions", F.col("base_value"), lambda a, x: a + x)
+    return explained.select("url", (F.abs(total - F.col("prediction")) < 1e-9).alias("adds_up"), (F.get("contributions", F.lit(3)) == 0).alias("unused_is_0"))
+
+
+@query("l17_stump_contributions", sql("""
+  WITH r AS (SELECT ln(price) AS y, km::DOUBLE AS x FROM m), mean AS (SELECT avg(y) AS start FROM r),
+  v AS (SELECT x, sum(y - start) AS g, count(*) AS n FROM r, mean GROUP BY 1),
+  w AS (SELECT x, sum(g) OVER a AS gl, sum(n) OVER a AS nl, sum(g) OVER () AS gt, sum(n) OVER () AS nt FROM v WINDOW a AS (ORDER BY x)),
+  s AS (SELECT x, gl / nl AS low, (gt - gl) / (nt - nl) AS high, nl, nt, gl * gl / nl + (gt - gl) * (gt - gl) / (nt - nl) - gt * gt / nt AS gain
+        FROM w WHERE nl >= 20 AND nt - nl >= 20),
+  t AS (SELECT * FROM s WHERE gain >= (SELECT max(gain) FROM s) * (1 - 1e-9::DOUBLE) ORDER BY x LIMIT 1),
+  b AS (SELECT *, (nl * low + (nt - nl) * high) / nt AS mean FROM t)
+  SELECT url, start + mean AS base_value, CASE WHEN km <= x THEN low ELSE high END - mean AS of_km FROM d, b, mean""",
+    "url", "base_value of_km"))
+def _(t: Tables):
+    """One split on one feature: its contribution is the leaf's value less the mean over the training rows."""
+    rows = with_variant(t.market).select(F.ln("price").alias("log_price"), F.array(F.col("km").cast("double")).alias("features"))
+    model = boost.QuantileBoost(None, rounds=1, depth=1, step=1.0).fit(rows)
+    declared = t.declared.select("url", F.array(F.col("km").cast("double")).alias("features"))
+    return model.explain(declared).select("url", "base_value", F.get("contributions", F.lit(0)).alias("of_km"))
+
+
 @query("l17_permutation_importance")
 def _(t: Tables):
     train, test = encoded_pair(t)
-    model = boost.QuantileBoost(0.5, rounds=2, depth=3).fit(train)
+    model = boost.QuantileBoost(0.5, rounds=ROUNDS, depth=3).fit(train)
 
     def predict(rows):
         return model.transform(en.assemble(rows, FEATURES)).withColumn("q50", F.exp("prediction"))
@@ -486,12 +694,25 @@ def _(t: Tables):
         predict, test.select("price", *FEATURES), FEATURES, ev.pinball_loss("price", "q50", 0.5))
 
 
+@query("q7_monotone", sql("""
+  SELECT url, TRUE AS falls_with_km, TRUE AS rises_with_power FROM d""", "url falls_with_km rises_with_power"))
+def _(t: Tables):
+    """Price never rises with mileage and never falls with power: each row against itself with more of either."""
+    model = boost.QuantileBoost(0.5, rounds=ROUNDS, depth=4, monotone={1: -1, 2: 1}).fit(prepared(t))
+    rows = with_variant(t.declared)
+    age, km, power = (F.col(c).cast("double") for c in STUMP)
+    out = rows.select("url", F.array(age, km, power).alias("features"), F.array(age, km + 4000.0, power).alias("farther"), F.array(age, km, power + 10.0).alias("stronger"))
+    scored = {c: F.get(hist.predict(F.col(c), [model.fitted]), F.lit(0)) for c in ("features", "farther", "stronger")}
+    return out.select("url", *[v.alias(c) for c, v in scored.items()]).select(
+        "url", (F.col("farther") <= F.col("features")).alias("falls_with_km"), (F.col("stronger") >= F.col("features")).alias("rises_with_power"))
+
+
 @query("l18_bundle_unchanged", sql("SELECT url, TRUE AS same FROM d", "url same"))
 def _(t: Tables):
     """Predictions before saving and after loading."""
     encoder = en.PriceEncoder(CONFIG).fit(train_rows(t))
     train = en.assemble(encoder.transform(train_rows(t)).withColumn("log_price", F.ln("price")), FEATURES)
-    models, path = boost.fit_quantiles(train, rounds=1, depth=2), scratch_path(t.spark, "bundle")
+    models, path = boost.fit_quantiles(train, rounds=ROUNDS, depth=2), scratch_path(t.spark, "bundle")
     boost.save_bundle(t.spark, path, encoder, models, FEATURES)
     loaded, again, features = boost.load_bundle(t.spark, path)
     rows, names = test_rows(t), ("q15", "q50", "q85")
@@ -509,7 +730,7 @@ def _(t: Tables):
     encoder = en.PriceEncoder(CONFIG).fit(train_rows(t))
     train = en.assemble(encoder.transform(train_rows(t)).withColumn("log_price", F.ln("price")), FEATURES)
     path = scratch_path(t.spark, "bundle")
-    boost.save_bundle(t.spark, path, encoder, boost.fit_quantiles(train, rounds=2, depth=3), FEATURES)
+    boost.save_bundle(t.spark, path, encoder, boost.fit_quantiles(train, rounds=ROUNDS, depth=3), FEATURES)
     encoder, models, features = boost.load_bundle(t.spark, path)
     return boost.predict_quantiles(en.assemble(encoder.transform(test_rows(t)), features), models).select("url", "q15", "q50", "q85")
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,15 @@ def _private_dir(application: str) -> str:
     return folder
 
 
+def share_package(spark: SparkSession) -> None:
+    """Python workers of a local session look for the library where the driver found it, whatever folder they start in. On
+    a cluster the library is installed or sent with --py-files."""
+    folder, environment = str(Path(__file__).parents[1]), spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if spark.sparkContext.master.startswith("local") and folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([folder, *filter(None, known)])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local session, where driver and executors are one process, may do
     without; it gets a folder of its own that goes with the process."""

@@ -132,3 +132,39 @@ def test_pooled_equals_brute_force(spark):
         for r in table:
             pool = [v for b, y, v in rows if b == r["b"] and abs(y - r["y"]) <= 1]
             assert r["n_pool"] == len(pool) and r["m"] == pytest.approx(np.median(pool))
+
+
+def test_rollup_equals_brute_force(spark, monkeypatch):
+    """Groups of several levels from one table of counts, with nulls, stats and a choice of groups."""
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), rng.choice("xy"), rng.choice([1.0, rng.gauss(0, 5), None]), rng.gauss(3, 1)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "b string, m string, v double, w double").repartition(4)
+    none = F.lit(None).cast("string")
+    groups = F.array(*[
+        F.struct(F.lit(i).alias("level"), b.alias("gb"), m.alias("gm"))
+        for i, (b, m) in enumerate([(F.col("b"), F.col("m")), (F.col("b"), none), (none, none)])])
+    spec, stats = {"lo": ("v", 0.15), "hi": ("v", 0.9)}, {"mean": ("mean", "w"), "std": ("std", "v"), "known": ("count", "v")}
+    for cell_rows in (200_000, 7):
+        monkeypatch.setattr(qt, "ROWS_IN_CELL", cell_rows)
+        found = {(r.level, r.gb, r.gm): r for r in qt.rollup_quantiles(df, ["b", "m"], groups, spec, stats=stats).collect()}
+        want = {}
+        for b, m, v, w in rows:
+            for key in ((0, b, m), (1, b, None), (2, None, None)):
+                want.setdefault(key, []).append((v, w))
+        assert set(found) == set(want)
+        for key, members in want.items():
+            r, known = found[key], [v for v, _ in members if v is not None]
+            assert (r.n, r.known) == (len(members), len(known))
+            assert (r.lo, r.hi) == pytest.approx((np.quantile(known, 0.15), np.quantile(known, 0.9)), abs=1e-9)
+            assert (r.mean, r.std) == pytest.approx((np.mean([w for _, w in members]), np.std(known)), abs=1e-9)
+    chosen = spark.createDataFrame([(0, "a", "x"), (2, None, None)], "level int, gb string, gm string")
+    some = qt.rollup_quantiles(df, ["b", "m"], groups, spec, wanted=chosen).collect()
+    assert {(r.level, r.gb, r.gm) for r in some} == {(0, "a", "x"), (2, None, None)}
+
+
+def test_group_size_decides_for_each_group(spark, skewed, monkeypatch):
+    """One large group among small ones: both ways in one table, equal to one way for all."""
+    df = spark.createDataFrame(skewed, "k string, v double, w double")
+    whole = run(df, "plain")
+    monkeypatch.setattr(qt, "ROWS_IN_CELL", 1_000)
+    assert run(df, None) == whole
