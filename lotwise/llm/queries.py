@@ -188,9 +188,9 @@ def personal_spans(docs: DataFrame) -> DataFrame:
 ORACLES["op9_source_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix'), 1, 15))::BIGINT AS bits
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '') || ':mix'), 1, 15))::BIGINT AS dice
   FROM documents),
- s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
  w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight FROM s),
  r AS (
   SELECT *, 2.0::DOUBLE * source_size / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS total,
@@ -199,15 +199,20 @@ WITH d AS (
   FROM w WINDOW by_ratio AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
  l AS (SELECT max((total - capped) / open) AS level FROM r WHERE ratio >= (total - capped) / open),
  t AS (
-  SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * level) AS target FROM w, l),
+  SELECT source, source_size, n_docs, least(2.0::DOUBLE * source_size, weight * level) AS target FROM w, l),
  i AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS inclusion,
          greatest(0.0::DOUBLE, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END) * source_size) AS wanted
   FROM t),
- o AS (
-  SELECT d.*, i.source_size, target, inclusion, wanted,
-         sum(size) OVER (PARTITION BY d.source ORDER BY bits, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS so_far
+ u AS (
+  SELECT d.*, i.source_size, target, inclusion, wanted, inclusion - floor(inclusion) AS p, (dice + 0.5::DOUBLE) / 1152921504606846976.0::DOUBLE AS u,
+         sqrt((size * n_docs)::DOUBLE / i.source_size::DOUBLE) AS root
   FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source),
+ b AS (
+  SELECT *, CASE WHEN source_size > 0 AND p > 0 AND p < 1 THEN least(281474976710655::BIGINT,
+    CAST(floor(u / (u + (1.0::DOUBLE - u) * (p / (1.0::DOUBLE - p) * root)) * 281474976710656.0::DOUBLE) AS BIGINT)) ELSE 281474976710655::BIGINT END AS bits FROM u),
+ o AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY bits, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS so_far FROM b),
  c AS (
   SELECT *, CAST(floor(inclusion) AS BIGINT)
             + CASE WHEN inclusion > floor(inclusion) AND so_far + size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END AS copies

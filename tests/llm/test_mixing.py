@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -38,7 +39,14 @@ def brute(rows, weights=(5, 2, 1), share=1.5, most=2):
             continue
         whole = int(target[s] / total[s])
         wanted, so_far = target[s] - whole * total[s], 0
-        order = sorted((int(hashlib.md5(f"{d}:mix".encode()).hexdigest()[:15], 16), d, n) for d, n, x in words if x == s)
+        p, count = target[s] / total[s] - whole, sum(x == s for _, _, x in words)
+
+        def rank(d, n):
+            u = (int(hashlib.md5(f"{d}:mix".encode()).hexdigest()[:15], 16) + 0.5) / float(1 << 60)
+            odds = p / (1 - p) * math.sqrt(n * count / total[s])
+            return min(math.floor(u / (u + (1 - u) * odds) * float(1 << 48)), (1 << 48) - 1) if 0 < p < 1 else (1 << 48) - 1
+
+        order = sorted((rank(d, n), d, n) for d, n, x in words if x == s)
         for _, d, n in order:
             extra = wanted > 0 and so_far + n / 2 <= wanted
             so_far += n
@@ -63,3 +71,18 @@ def test_odd_tables(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     only = mixing.mix(spark.createDataFrame([(1, None, None, 0, ""), (None, "", "a", 0, "")], SCHEMA)).collect()
     assert [(r.size, r.taken) for r in only] == [(0, 0), (0, 0)]
+
+
+def test_odds_change_the_order(spark):
+    """Of a source's documents, longer ones are taken more often, and some short ones before some long ones."""
+    rows = [(i, "w " * (1 if i % 2 else 25), "a") for i in range(2000)] + [(5000 + i, "w", "b") for i in range(10_000)]
+    docs = spark.createDataFrame([(d, t, s, 0, "") for d, t, s in rows], SCHEMA)
+    got = [r for r in mixing.mix(docs, weights=(1, 4)).collect() if r.source == "a"]
+    share = {size: sum(r.copies > 1 for r in got if r.size == size) / 1000 for size in (1, 25)}
+    assert 0.03 < share[1] < share[25] - 0.1
+
+
+def test_rows_without_doc_id_are_told_apart_by_their_text(spark):
+    docs = spark.createDataFrame([(None, f"w{i}", "a", 0, "") for i in range(500)] + [(1, "w " * 1500, "b", 0, "")], SCHEMA)
+    taken = [r.copies for r in mixing.mix(docs, weights=(1, 9)).collect() if r.source == "a"]
+    assert 0 < sum(taken) < 500
