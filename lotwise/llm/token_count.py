@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,8 +16,10 @@ VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 # An unknown character's score is that much below the lowest score of a piece; a fixed value of unigram tokenizers.
 PENALTY = 10.0
-# Words whose counts a task remembers.
-REMEMBERED = 500_000
+# Spaces and the word behind them; a space behind something else.
+WORD, ACROSS = re.compile(f"{SPACE}+[^{SPACE}]*"), re.compile(f"[^{SPACE}]{SPACE}")
+# Words whose counts a task remembers, and their length at most.
+REMEMBERED, LONG = 300_000, 64
 
 
 @cache
@@ -36,7 +39,8 @@ class Counter:
     is better than all pieces. Unknown characters count as their bytes if the vocabulary has all byte pieces, else a
     run of them counts as one.
 
-    A word and the space before it are cut on their own, so its count is remembered.
+    A word and the spaces before it are cut on their own, so its count is remembered, if no piece goes on from a word to
+    a space and runs of unknown characters can't either; else the text is cut as a whole.
     """
 
     def __init__(self, pieces: tuple[tuple[str, float], ...]):
@@ -49,19 +53,23 @@ class Counter:
             if name not in self.automaton:
                 self.automaton.add_word(name, (len(name), score))
         self.automaton.make_automaton()
+        self.by_word = SPACE in names and not any(ACROSS.search(name) for name in names)
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> int:
         if not text:
             return 0
         known, total = self.known, 0
-        # the text gets a space in front if it has none; each space starts a word
-        for word in text.replace(SPACE, " ").removeprefix(" ").split(" "):
+        # the text gets a space in front if it has none
+        whole = SPACE + text.replace(" ", SPACE).removeprefix(SPACE)
+        for word in WORD.findall(whole) if self.by_word else [whole]:
             n = known.get(word)
             if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                n = known[word] = self.count(SPACE + word)
+                n = self.count(word)
+                if len(word) <= LONG:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = n
             total += n
         return total
 
@@ -110,7 +118,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, to: str = "n_tokens")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(load(path))
         for batch in batches:
-            found = pa.array([counter(t) for t in batch.column("text").to_pylist()], pa.int64())
+            found = pa.array([counter(t.as_py()) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, to])
 
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())]))

@@ -11,13 +11,13 @@ from lotwise.llm import token_count
 
 def tokenizer(pieces, byte_fallback):
     made = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces], 0, byte_fallback))
-    made.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_count.SPACE, prepend_scheme="always", split=True)
+    made.pre_tokenizer = pre_tokenizers.Metaspace(replacement=token_count.SPACE, prepend_scheme="always", split=False)
     return made
 
 
 def texts(alphabet, seed):
     dice = random.Random(seed)
-    made = ["", " ", "  ", "a", " a", "a ", "▁a▁", "\n", "é", "日本 語", "a" * 3000, "\U0001F600\U0001F600 x", " \n \t "]
+    made = ["", " ", "  ", "a", "a    b", "   a", "a   ", "a  b   c    d", "▁ ▁a", " a", "a ", "▁a▁", "\n", "é", "日本 語", "a" * 3000, "\U0001F600\U0001F600 x", " \n \t "]
     return made + ["".join(dice.choice(alphabet) for _ in range(dice.randint(1, 60))) for _ in range(800)]
 
 
