@@ -52,7 +52,8 @@ def band_quantiles(
     by = [*eq, band]
     measures = list(dict.fromkeys(c for c, _ in spec.values()))
     wanted = settle(targets.select(*by).distinct())
-    pool = for_targets(market.select(*by, *measures), wanted, eq, band, k)
+    # group sizes and quantiles both read the pool
+    pool = settle(for_targets(market.select(*by, *measures), wanted, eq, band, k))
     return quantile_table(pool, by, spec, aggs=[F.count(F.lit(1)).alias(n)], strategy=strategy)
 
 

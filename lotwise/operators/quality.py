@@ -102,7 +102,8 @@ def iqr_bounds(
     small = sizes.where(F.col("n_group") < large)
     asked = for_targets(rows, small, [brand], year, 1)
     direct = join_on(rows, sizes.where(F.col("n_group") >= large).select(*by), by)
-    pool = direct.select(*by, *measures).unionByName(asked)
+    # group sizes and quantiles both read the pool
+    pool = settle(direct.select(*by, *measures).unionByName(asked))
     table = quantile_table(pool, by, _quartile_spec(list(measures)), aggs=[n_rows("n_pool")], strategy=strategy)
     table = join_on(table, sizes, by)
     own = F.col("n_group") >= large

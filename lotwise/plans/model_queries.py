@@ -307,7 +307,7 @@ def _(t: Tables):
 @query("l6_quantile_boost")
 def _(t: Tables):
     train, test = encoded_pair(t)
-    model = boost.QuantileBoost(0.85, rounds=200, depth=3, step=0.1).fit(train)
+    model = boost.QuantileBoost(0.85, rounds=200, depth=3, step=0.1, exact=False).fit(train)
     return model.transform(test).select("url", F.exp("prediction").alias("q85"))
 
 
@@ -605,12 +605,12 @@ def _(t: Tables):
         "feature string, cut double, above boolean, n bigint, start double, leaf double")
 
 
-@query("l6_leaf_shares", sql("SELECT count(*) AS n, 200 AS trees, TRUE AS leaves_are_quantiles FROM m", "n trees leaves_are_quantiles"))
+@query("l6_leaf_shares", sql("SELECT count(*) AS n, 50 AS trees, TRUE AS leaves_are_quantiles FROM m", "n trees leaves_are_quantiles"))
 def _(t: Tables):
-    """200 rounds; in every leaf of the last tree, the share of residuals up to the leaf's value is the level."""
+    """50 rounds; in every leaf of the last tree, the share of residuals up to the leaf's value is the level."""
     train = prepared(t)
-    model = boost.QuantileBoost(0.85, rounds=200, depth=3, step=0.1).fit(train)
-    before, last = boost.QuantileBoostModel(model.fitted.first(199)), model.fitted.trees[-1]
+    model = boost.QuantileBoost(0.85, rounds=50, depth=3, step=0.1).fit(train)
+    before, last = boost.QuantileBoostModel(model.fitted.first(49)), model.fitted.trees[-1]
     leaf = hist.predict(F.col("features"), [hist.HistModel(model.fitted.cuts, 0.0, [last])])
     scored = before.transform(train).withColumns({"leaf": F.get(leaf, F.lit(0)), "e": F.col("log_price") - F.col("prediction")})
     value = F.col("leaf") / 0.1
