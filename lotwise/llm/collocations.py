@@ -275,7 +275,7 @@ def score_phrases(total: DataFrame, counts: DataFrame, kept: int = KEPT) -> Data
     free = lowest.join(covers, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~covered)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = free.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= kept)
-    return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, kept: int = KEPT, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -160,7 +160,7 @@ WITH p AS (
  o AS (SELECT lang, phrase, max(a) AS longer FROM j GROUP BY 1, 2),
  z AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT),
  q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
-SELECT lang, CAST(rank AS INT) AS rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000"""
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM q JOIN t USING (lang) WHERE rank <= 2000"""
 
 
 @query("op12_embedding_whitening", "embeddings")
