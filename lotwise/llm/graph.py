@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from lotwise.scale import settle
 
 # Nodes a task holds before it passes on what it has joined.
-NODES_AT_ONCE = 300_000
+NODES_AT_ONCE = 50_000
 ROUNDS = 60
 
 

@@ -7,8 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 PORTION = 8 << 20
+# Rows of an Arrow batch of texts, which is held several times over on its way to Python, and Spark's own number.
+ROWS_IN_BATCH, USUAL = 1_000, "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of ROWS_IN_BATCH rows, unless the session was set to a number of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == USUAL:
+        spark.conf.set(name, ROWS_IN_BATCH)
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: str, most: int = PORTION) -> Iterator[pa.Table]:

@@ -14,6 +14,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lotwise.llm.portions import small_batches
 from lotwise.scale import settle
 
 # Insults; fixed values.
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     Labels other than 0 and 1 are ignored; of repeated labels the greatest counts. Without labelled rows of both
     classes only the lexicon and the patterns vote, with the rates they start from.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
