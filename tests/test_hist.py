@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from lotwise.learning import hist
 from lotwise.learning.hist import Spec
@@ -152,3 +153,34 @@ def test_odd_tables(spark):
         known = [y for _, y in rows if y is not None]
         for model in models:
             assert model.start == pytest.approx(np.median(known) if known else 0.0)
+
+
+def test_blocks_are_small_whatever_their_number_of_models(spark):
+    x, y = made(5000)
+    cuts = [[3.0, 7.0], [0.0], [0.5]]
+    held = table(spark, x, y, fold=np.arange(len(y)) % 3, held=np.arange(len(y)) % 7 == 0).repartition(2)
+    packed = hist.blocks(held, "x", "y", cuts, 15, fold="fold", held="held")
+    sizes = packed.select(sum(F.octet_length(c) for c in packed.columns).alias("size"), F.octet_length("y").alias("y"))
+    most, rows = sizes.agg(F.max("size"), F.sum("y") / 8).first()
+    assert most <= hist.BLOCK_BYTES and rows == 5000
+
+
+def test_settled_blocks_are_small(spark):
+    x, y = made(4000)
+    specs = [Spec(a, (0, 1, 2), 0.5, 3, 2) for a in (0.15, 0.5, 0.85)]
+    done = hist.Trainer(table(spark, x, y).repartition(2), "x", 3, "y", specs, settled=2).fit()
+    sizes = done.data.select(sum(F.octet_length(c) for c in done.data.columns).alias("size"), F.octet_length("f").alias("f"))
+    most, values = sizes.agg(F.max("size"), F.sum("f") / 8).first()
+    assert most <= hist.BLOCK_BYTES and values == 3 * 4000
+
+
+def test_large_sums_are_merged_before_they_are_collected(spark, monkeypatch):
+    x, y = made(1000)
+    df, collected = table(spark, x, y).repartition(6), []
+    plain = hist.train(df, "x", 3, "y", [Spec(0.5, (0, 1, 2), 0.5, 2, 2)])[0]
+    monkeypatch.setattr(hist, "COLLECTED", 1)
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: collected.append(collect(df)) or collected[-1])
+    merged = hist.train(df, "x", 3, "y", [Spec(0.5, (0, 1, 2), 0.5, 2, 2)])[0]
+    assert merged == plain
+    assert all(len(rows) == 1 for rows in collected if rows and "added" in rows[0] and len(rows[0].added) > 100)
