@@ -23,8 +23,9 @@ BINS = 256
 # A block takes so many bytes: readers of parquet hold 4,096 values at once, whatever their size. So many rows are worked on
 # at once. The driver gets the sums of so many tasks, and so many bytes, at a time; beyond that they are merged before.
 BLOCK_BYTES, BLOCK_ROWS, MERGED, COLLECTED = 4 << 10, 1 << 15, 64, 64 << 20
-# Cells of a residual histogram; the values around a rank are looked at once a leaf has so many there at most.
-CELLS, LOOKED_AT = 2048, 256
+# Cells of a residual histogram; the values around a rank are looked at once a leaf has so many there at most, or its share
+# of what the driver may get.
+CELLS, LOOKED_AT, ALL_LOOKED_AT = 2048, 256, 1 << 21
 SETTLED = 10
 LEAST_GAIN = 1e-12
 
@@ -358,6 +359,7 @@ class Trainer:
         paths: dict[int, dict[int, list]] = {m: {leaf: [(*limits[m], 0, CELLS - 1)] for leaf in range(len(t.value))} for m, t in todo.items()}
         ranks: dict[int, dict[int, tuple[float, int]]] = {m: {} for m in todo}
         looked: dict[int, dict[int, list]] = {m: {} for m in todo}
+        few = max(LOOKED_AT, ALL_LOOKED_AT // max(1, sum(map(len, paths.values()))))
         first = True
         while any(paths.values()):
             open_ = {m: p for m, p in paths.items() if p}
@@ -386,7 +388,7 @@ class Trainer:
                         continue
                     ranks[m][leaf] = (at, start)
                     path = [*path[:-1], (a, b, low, high)]
-                    if inside <= LOOKED_AT or step * (high - low + 1) <= abs(a) * 1e-15:
+                    if inside <= few or step * (high - low + 1) <= abs(a) * 1e-15:
                         looked[m][leaf] = path
                     else:
                         after[m][leaf] = [*path, (a + low * step, a + (high + 1) * step, 0, CELLS - 1)]
@@ -405,11 +407,13 @@ class Trainer:
                 _in_bounds(tree, ranks[m].get("bounds"))
 
     def _values(self, trees: Mapping[int, Tree], paths: Mapping[int, dict[int, list]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """The residuals in the last cells of `paths`, few by now: distinct values, and how many are up to each."""
+        """The residuals in the last cells of `paths`, few by now: distinct values, and how many rows are up to each."""
         specs, n_models, fresh, starts = self.specs, len(self.specs), self._fresh(list(paths)), self._fresh_starts()
+        schema = pa.schema([("model", pa.int32()), ("leaf", pa.int32()), ("v", pa.binary()), ("n", pa.binary())])
         self.passes += 1
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple[int, int], list[np.ndarray]] = {}
             for block in _each_block(batches, n_models):
                 for m, leaves in paths.items():
                     f = _predictions(block, m, starts, fresh)
@@ -420,16 +424,19 @@ class Trainer:
                             cell = _cell(r, a, b)
                             r = r[(cell >= low) & (cell <= high)]
                         if len(r):
-                            v, n = np.unique(r, return_counts=True)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array([m] * len(v), pa.int32()), pa.array([leaf] * len(v), pa.int32()), pa.array(v), pa.array(n, pa.int64())],
-                                names=["model", "leaf", "v", "n"])
+                            kept.setdefault((m, leaf), []).append(r)
+            for (m, leaf), parts in kept.items():
+                v, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_pylist([{"model": m, "leaf": leaf, "v": v.astype("<f8").tobytes(), "n": n.astype("<i8").tobytes()}], schema)
 
-        rows = self.data.mapInArrow(run, "model int, leaf int, v double, n bigint").groupBy("model", "leaf", "v").agg(F.sum("n").alias("n")).collect()
         out: dict[tuple[int, int], list] = {}
-        for r in rows:
-            out.setdefault((r.model, r.leaf), []).append((r.v, r.n))
-        return {k: (np.array([v for v, _ in sorted(vs)]), np.cumsum([n for _, n in sorted(vs)])) for k, vs in out.items()}
+        for r in self.data.mapInArrow(run, "model int, leaf int, v binary, n binary").collect():
+            out.setdefault((r.model, r.leaf), []).append((np.frombuffer(r.v, "<f8"), np.frombuffer(r.n, "<i8")))
+        merged = {}
+        for k, parts in out.items():
+            v, place = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+            merged[k] = v, np.cumsum(np.bincount(place, np.concatenate([n for _, n in parts]))).astype(np.int64)
+        return merged
 
 
 def _add(total: dict[int, list[np.ndarray]], m: int, added: np.ndarray, top: np.ndarray) -> None:
@@ -783,10 +790,11 @@ def expected_value(model: HistModel) -> float:
     return out
 
 
-def contributions_on_bins(model: HistModel, x: np.ndarray) -> np.ndarray:
+def contributions_on_bins(model: HistModel, x: np.ndarray, tables: Sequence[list] | None = None) -> np.ndarray:
+    """What each feature adds to the predictions; `tables` are the `leaf_tables` of the trees, if they are known."""
     out = np.zeros((len(model.cuts), x.shape[1]))
-    for tree in model.trees:
-        for path, features, table in leaf_tables(tree):
+    for leaves in tables or map(leaf_tables, model.trees):
+        for path, features, table in leaves:
             pattern = np.zeros(x.shape[1], np.int64)
             for i, feature in enumerate(features):
                 meets = np.ones(x.shape[1], bool)
@@ -802,12 +810,12 @@ def contributions_on_bins(model: HistModel, x: np.ndarray) -> np.ndarray:
 
 def contributions(features: Column, model: HistModel) -> Column:
     """Array of what each feature adds to the prediction; with `expected_value` they add up to it, for every row."""
-    width = len(model.cuts)
+    width, tables = len(model.cuts), [list(leaf_tables(tree)) for tree in model.trees]
 
     @F.arrow_udf("array<double>")
     def explain(x: pa.Array) -> pa.Array:
         values = _lists(x, width)
-        out = contributions_on_bins(model, binned(values, model.cuts)).T
+        out = contributions_on_bins(model, binned(values, model.cuts), tables).T
         offsets = np.arange(0, out.size + 1, max(width, 1), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(out).ravel()))
 

@@ -184,3 +184,15 @@ def test_large_sums_are_merged_before_they_are_collected(spark, monkeypatch):
     merged = hist.train(df, "x", 3, "y", [Spec(0.5, (0, 1, 2), 0.5, 2, 2)])[0]
     assert merged == plain
     assert all(len(rows) == 1 for rows in collected if rows and "added" in rows[0] and len(rows[0].added) > 100)
+
+
+def test_exact_leaves_are_looked_at_in_one_pass_more(spark):
+    """A pass per level, one that counts residuals in cells and one that takes the values around the rank: no refinement."""
+    x, y = made(3000)
+    y = np.concatenate([y, 3 + np.arange(600) * 1e-7])
+    x = np.concatenate([x, np.tile([20.0, 0.0, 0.0], (600, 1))])
+    done = hist.Trainer(table(spark, x, y), "x", 3, "y", [Spec(0.5, (0, 1, 2), 0.5, 2, 2)]).fit()
+    assert done.passes <= 3 + 2 * 4
+    want = dense(x, y, done.cuts, done.specs[0], 2)
+    model = hist.HistModel(done.cuts, done.starts[0], done.trees[0])
+    assert np.allclose(model.on_bins(hist.binned(x, model.cuts)), want, atol=1e-9)
