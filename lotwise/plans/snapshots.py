@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,12 +11,22 @@ from lotwise.operators.match import pair_snapshots
 from lotwise.operators.quality import near_dup_audit, pair_drift, segment_drift
 from lotwise.operators.stats import n_rows
 from lotwise.operators.windows import best_source, dedup_subset, latest_per_key
+from lotwise.scale import settle
 from lotwise.sources.files import tag_snapshot, union_all
 
 
+# Rows that a task sorts or counts by key at a time, about.
+ROWS_IN_PART = 500_000
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt by key to as many parts as its rows need, so that what a task holds doesn't grow with the table."""
+    return df.repartition(max(1, math.ceil(df.count() / ROWS_IN_PART)), key)
+
+
 def dedup_latest(df: DataFrame, key: str = "url", ts: str = "index_date") -> DataFrame:
     """One row per key inside a snapshot: the newest."""
-    return latest_per_key(df, key, ts)
+    return latest_per_key(by_key(df, key), key, ts)
 
 
 def merge_snapshots(snapshots: Mapping[str, DataFrame], key: str = "url") -> DataFrame:
@@ -23,7 +34,7 @@ def merge_snapshots(snapshots: Mapping[str, DataFrame], key: str = "url") -> Dat
     ranked = [
         tag_snapshot(df, name).withColumn("_rank", F.lit(i)) for i, (name, df) in enumerate(snapshots.items())
     ]
-    return best_source(union_all(*ranked), key, "_rank").drop("_rank")
+    return best_source(by_key(settle(union_all(*ranked)), key), key, "_rank").drop("_rank")
 
 
 def overlap_accounting(snapshots: Mapping[str, DataFrame], key: str = "url") -> DataFrame:
@@ -32,10 +43,8 @@ def overlap_accounting(snapshots: Mapping[str, DataFrame], key: str = "url") ->
     Works on (key, snapshot) pairs; newest snapshot = largest rank.
     """
     names = list(snapshots)
-    pairs = union_all(*[
-        df.select(key).distinct().withColumn("_rank", F.lit(i)) for i, df in enumerate(snapshots.values())
-    ])
-    per_key = pairs.groupBy(key).agg(n_rows("_n"), F.max("_rank").alias("_best"))
+    pairs = union_all(*[df.select(key).withColumn("_rank", F.lit(i)) for i, df in enumerate(snapshots.values())])
+    per_key = by_key(pairs, key).distinct().groupBy(key).agg(n_rows("_n"), F.max("_rank").alias("_best"))
     return per_key.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_listed"), n_rows("n_union"),
         (F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).alias("n_overlap"),

@@ -289,3 +289,17 @@ def test_ragged_rows_are_cut(spark, tmp_path):
 def test_missing_columns_are_named(spark):
     with pytest.raises(ValueError, match="brand, price"):
         files.resolve_columns(spark.range(1), {"price": ("prix",), "brand": ()})
+
+
+def test_snapshot_tasks_hold_so_many_rows_at_most(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "ROWS_IN_PART", 10)
+    rows = [(f"u{i % 150}" if i % 50 else None, f"2020-01-{i % 28 + 1:02d}", float(i)) for i in range(300)]
+    old, new = (spark.createDataFrame(r, "url string, index_date string, price double") for r in (rows, rows[:40]))
+    latest = snapshots.dedup_latest(old)
+    merged = snapshots.merge_snapshots({"old": latest, "new": snapshots.dedup_latest(new)})
+    for df, parts in ((latest, 30), (merged, 18)):
+        per_part = df.groupBy(F.spark_partition_id().alias("p")).count()
+        assert per_part.count() > parts / 2
+        assert df.select("url").distinct().count() == df.count() == 148
+    one = snapshots.overlap_accounting({"old": old, "new": new}).first()
+    assert (one.n_union, one.n_overlap, one.kept_new) == (148, 40, 40)
