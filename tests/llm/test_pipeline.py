@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from lotwise import scale
 from lotwise.llm import mixing, packing
 from lotwise.scale import settle
 
@@ -112,6 +113,15 @@ def test_run(spark, tables):
     assert out.count() > 300 and "sequence_id" in out.columns
 
 
+def test_run_keeps_the_last_stage_only(spark, tables):
+    folder, _, _ = tables
+    start = len(scale._KEPT)
+    out = pipeline.run(spark, folder)
+    kept = [spark.read.parquet(p).columns for p in scale._KEPT[start:]]
+    assert kept.count(out.columns) == 1
+    assert not [c for c in kept if {"text", "n_chars"} <= set(c)]
+
+
 def test_stages_of_an_empty_table(spark, tables):
     folder, _, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet").where(F.lit(False))
