@@ -196,3 +196,47 @@ def test_exact_leaves_are_looked_at_in_one_pass_more(spark):
     want = dense(x, y, done.cuts, done.specs[0], 2)
     model = hist.HistModel(done.cuts, done.starts[0], done.trees[0])
     assert np.allclose(model.on_bins(hist.binned(x, model.cuts)), want, atol=1e-9)
+
+
+def random_tree(rng, depth, features):
+    tree = hist.empty_tree(depth)
+    for node in range(len(tree.feature)):
+        if rng.random() < 0.7:
+            tree.feature[node], tree.cut[node] = int(rng.integers(features)), int(rng.integers(255))
+    tree.value = rng.normal(size=1 << depth).tolist()
+    return tree
+
+
+def test_nodes_against_a_walk():
+    rng = np.random.default_rng(5)
+    for depth in (0, 1, 2, 3, 5):
+        tree, x = random_tree(rng, depth, 4), rng.integers(0, 256, (4, 300)).astype(np.uint8)
+        for level in range(depth + 1):
+            want = []
+            for row in x.T:
+                place = 0
+                for k in range(level):
+                    node = (1 << k) - 1 + place
+                    place = 2 * place + int(tree.feature[node] >= 0 and row[tree.feature[node]] > tree.cut[node])
+                want.append(place)
+            assert hist.nodes_at(tree, x, level).tolist() == want
+
+
+def test_models_of_a_fold_share_its_rows():
+    rng = np.random.default_rng(7)
+    n, tree = 500, random_tree(rng, 2, 3)
+    tree.feature[:] = [0, 1, 2]
+    x, y, fold = rng.integers(0, 256, (n, 3)).astype(np.uint8), rng.normal(size=n), rng.integers(0, 3, n).astype("<i4")
+    block = hist._Block(x, y, None, fold, None, None)
+    specs = [hist.Spec(a, (0, 1, 2), fold=1) for a in (0.15, 0.5, 0.85)]
+    assert len({id(block.training(s)) for s in specs}) == 1
+    for spec in specs:
+        for level, wanted in ((0, [0]), (1, [2])):
+            start = float(np.quantile(y, spec.alpha))
+            sums, _ = hist._histograms({0: tree}, {0: wanted}, level)(0, spec, block, lambda part: part.predictions(0, [start], {0: []}))
+            got = hist._three(sums[5:].reshape(1, 3, 256, -1), spec)[0]
+            rows = (fold != 1) & ((x[:, 0] > tree.cut[0]) if level else True)
+            for c in range(3):
+                g = np.where(y[rows] < start, spec.alpha - 1, spec.alpha)
+                assert np.allclose(got[c, :, 0], np.bincount(x[rows, c], g, minlength=256))
+                assert got[c, :, 2].tolist() == np.bincount(x[rows, c], minlength=256).tolist()
