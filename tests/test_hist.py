@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from lotwise.learning import hist
+from lotwise.learning import evaluate as ev, hist
 from lotwise.learning.hist import Spec
 
 
@@ -222,6 +222,18 @@ def test_nodes_against_a_walk():
             assert hist.nodes_at(tree, x, level).tolist() == want
 
 
+def test_stages_of_a_model_cost_each_tree_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    trees, x = [random_tree(rng, 3, 4) for _ in range(12)], rng.integers(0, 256, (4, 50)).astype(np.uint8)
+    whole, other = hist.HistModel([[]] * 4, 0.5, trees), hist.HistModel([[]] * 4, 0.5, [random_tree(rng, 3, 4), *trees[1:]])
+    models = [whole.first(3), other.first(5), whole, whole.first(0), other, hist.HistModel(whole.cuts, 0.25, trees[:4])]
+    want, seen, nodes_at = [m.on_bins(x) for m in models], [], hist.nodes_at
+    monkeypatch.setattr(hist, "nodes_at", lambda *a: seen.append(1) or nodes_at(*a))
+    found = ev._stages(models, x)
+    assert [f.tolist() for f in found] == [f.tolist() for f in want]
+    assert len(seen) == 12 + 12 + 4
+
+
 def test_models_of_a_fold_share_its_rows():
     rng = np.random.default_rng(7)
     n, tree = 500, random_tree(rng, 2, 3)
